@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import license_scan, sentencepiece_sampling, topk, url_filter
+from loomgraph.llm import license_scan, sentencepiece_sampling, topk, toxicity, url_filter
 
 QUERIES = {
     "op5_url_filter": url_filter.op5,
     "op6_sentencepiece": sentencepiece_sampling.op6,
     "op7_license_scan": license_scan.op7,
     "op8_topk_search": topk.op8,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLES = {

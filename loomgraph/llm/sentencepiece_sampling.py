@@ -10,6 +10,8 @@ and the draw's place, so a row has one segmentation wherever and however often i
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -116,7 +118,7 @@ class Sampler:
     def learn(self, units: list[str]) -> None:
         """Forward filtering over new units."""
         p = self.p
-        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        flat = np.frombuffer("".join(units).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = np.array([len(u) for u in units], np.int64)
         ends = np.cumsum(n)
         stop = np.repeat(ends, n)
@@ -180,20 +182,17 @@ class Sampler:
         """Piece ids of each row."""
         if len(self.src) > CACHE_EDGES:
             self.clear()
-        new = {}
-        for units in rows:
-            for u in units:
-                if u not in self.index:
-                    new[u] = None
-        if new:
-            self.learn(list(new))
+        units = list(chain.from_iterable(rows))
+        known = list(map(self.index.get, units))
+        if None in known:
+            self.learn(list(dict.fromkeys(u for u, k in zip(units, known) if k is None)))
+            known = list(map(self.index.get, units))
+        unit = np.array(known, np.int64)
         count = np.array([len(r) for r in rows], np.int64)
-        get = self.index.__getitem__
-        unit = np.fromiter((get(u) for r in rows for u in r), np.int64, int(count.sum()))
         row = np.repeat(np.arange(len(rows)), count)
         seed = _mix(seeds[row] + np.arange(len(unit), dtype=np.uint64) - np.repeat(np.cumsum(count) - count, count).astype(np.uint64))
         node = self.last[unit]
-        who, when, what = [], [], []
+        who, what = [], []
         at, t = np.arange(len(unit)), 0
         while len(at):
             lo, hi = self.first_edge[node], self.first_edge[node + 1]
@@ -208,14 +207,17 @@ class Sampler:
                 e[more] += 1
                 more = more[(self.cum[e[more]] <= u[more]) & (e[more] < hi[more] - 1)]
             who.append(at)
-            when.append(np.full(len(at), -t, np.int32))
             what.append(self.piece[e])
             node, t = self.src[e], t + 1
         if not who:
             return [np.zeros(0, np.int32) for _ in rows]
-        who, when, what = np.concatenate(who), np.concatenate(when), np.concatenate(what)
-        order = np.lexsort((when, who))
-        what, who = what[order], who[order]
+        # A unit's pieces came last to first: place each by its step.
+        size = np.bincount(np.concatenate(who), minlength=len(unit))
+        stop = np.cumsum(size)
+        ids = np.empty(int(stop[-1]), np.int32)
+        for step, (w, x) in enumerate(zip(who, what)):
+            ids[stop[w] - 1 - step] = x
+        what, who = ids, np.repeat(np.arange(len(unit)), size)
         if (what < 0).any():  # spell in bytes
             spelled = [[self.p.byte_id[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] if c < 0 else [c] for c in what[what < 0]]
             n = np.ones(len(what), np.int64)
@@ -226,24 +228,12 @@ class Sampler:
         return np.split(what.astype(np.int32), np.cumsum(np.bincount(row[who], minlength=len(rows)))[:-1])
 
 
+_UNIT = re.compile(f"{MARK}| *[^ {MARK}]+| +")
+
+
 def split_units(text: str) -> list[str]:
-    """Units of a text: spaces become marks; a mark of the text's own stands alone and is spelled in bytes."""
-    parts = text.split(" ")
-    out, run = [], ""
-    for k, part in enumerate(parts):
-        run = run + MARK if k else run
-        if part:
-            if MARK in part:  # rare: never let it look like a space
-                bits = part.split(MARK)
-                out.append(run + bits[0]) if run + bits[0] else None
-                for b in bits[1:]:
-                    out += [""] + ([b] if b else [])
-            else:
-                out.append(run + part)
-            run = ""
-    if run:
-        out.append(run)
-    return out
+    """Units of a text, with spaces still in place of marks; a mark of the text's own is a unit alone."""
+    return _UNIT.findall(text)
 
 
 def row_seed(key) -> int:
@@ -262,7 +252,7 @@ def _sampler(blob: bytes, alpha: float) -> Sampler:
     return _WORKER[k]
 
 
-def _chunks(pdf: pd.DataFrame, chars: int = 2_000_000):
+def _chunks(pdf: pd.DataFrame, chars: int = 1_000_000):
     """Slices of about so many characters, one row at least."""
     size = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).to_numpy()
     cut = np.cumsum(size) // chars
@@ -295,7 +285,7 @@ def encode(docs: DataFrame, model: str | None = None, alpha: float = 1.0, key: s
 
 
 def segment(sampler: Sampler, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
-    """Sampled ids of each text; a literal mark (the empty unit) is spelled as the mark's bytes."""
+    """Sampled ids of each text; a literal mark is spelled as the mark's bytes."""
     out = sampler.sample([[] if MARK in x else split_units(x) for x in texts], seeds)
     mark = np.array([sampler.p.byte_id[b] for b in MARK.encode()], np.int32)
     for k, text in enumerate(texts):
@@ -303,12 +293,12 @@ def segment(sampler: Sampler, texts: list[str], seeds: np.ndarray) -> list[np.nd
             continue
         ids, part, s = [], [], seeds[k : k + 1]
         for u in [*split_units(text), None]:
-            if u:
+            if u not in (None, MARK):
                 part.append(u)
                 continue
             ids += sampler.sample([part], s)
             s, part = _mix(s), []
-            if u == "":
+            if u == MARK:
                 ids.append(mark)
         out[k] = np.concatenate(ids)
     return out
