@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import license_scan, sentencepiece_sampling, topk, toxicity, url_filter
+from loomgraph.llm import license_scan, line_dedup, sentencepiece_sampling, topk, toxicity, url_filter
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2,
     "op5_url_filter": url_filter.op5,
     "op6_sentencepiece": sentencepiece_sampling.op6,
     "op7_license_scan": license_scan.op7,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_dedup": line_dedup.SQL,
     "op7_license_scan": license_scan.SQL,
     "op8_topk_search": topk.SQL,
 }
