@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import license_scan, line_dedup, sentencepiece_sampling, topk, toxicity, url_filter
+from loomgraph.llm import license_scan, line_dedup, minhash_dedup, sentencepiece_sampling, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_sentencepiece": sentencepiece_sampling.op6,
     "op7_license_scan": license_scan.op7,
     "op8_topk_search": topk.op8,
+    "op9_minhash_dedup": minhash_dedup.op9,
     "op10_toxicity": toxicity.op10,
 }
 
@@ -17,4 +18,5 @@ ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
     "op7_license_scan": license_scan.SQL,
     "op8_topk_search": topk.SQL,
+    "op9_minhash_dedup": minhash_dedup.SQL,
 }
