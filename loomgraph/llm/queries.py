@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import license_scan, line_dedup, minhash_dedup, sentencepiece_sampling, topk, toxicity, url_filter
+from loomgraph.llm import decontaminate, license_scan, line_dedup, minhash_dedup, sentencepiece_sampling, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2,
+    "op3_decontaminate": decontaminate.op3,
     "op5_url_filter": url_filter.op5,
     "op6_sentencepiece": sentencepiece_sampling.op6,
     "op7_license_scan": license_scan.op7,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": line_dedup.SQL,
+    "op3_decontaminate": decontaminate.SQL,
     "op7_license_scan": license_scan.SQL,
     "op8_topk_search": topk.SQL,
     "op9_minhash_dedup": minhash_dedup.SQL,
