@@ -9,9 +9,8 @@ number) has a Jaccard similarity of ``THRESHOLD`` or more; lines without words s
 3. first lines are posted under their prefix, the words rare enough that two similar lines share
    one; a semi-join under the length, positional and bitmap filters finds lines with any possible
    partner, at most one row for each posting;
-4. the few lines left carry their whole sets into a second semi-join that verifies Jaccard.
-
-No pair is ever emitted: both joins stop at a line's first match.
+4. only the lines and words that met go on to pairs, under a finer bitmap; whole sets then verify
+   Jaccard.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ascii_lower, materialize, table, words
+from loomgraph.llm.common import materialize, table, words
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
@@ -33,13 +32,13 @@ def _lines(text: Column) -> Column:
 
 
 def _hash_words(line: Column) -> Column:
-    return F.transform(words(ascii_lower(line)), lambda w: F.xxhash64(w))
+    return F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))
 
 
 def rarity(docs: DataFrame) -> Column:
     """Place of each hash bucket by the words counted in it, rarest first, as an array constant."""
     counts = (
-        docs.select(F.explode(words(ascii_lower(F.col("text")))).alias("w"))
+        docs.select(F.explode(words(F.lower("text"))).alias("w"))
         .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
         .count()
         .collect()  # BUCKETS rows at most
@@ -54,21 +53,25 @@ def rarity(docs: DataFrame) -> Column:
 def _keys(line: Column, places: Column) -> Column:
     """Distinct words of a line as 64-bit keys, rarest first; key and word hash map one to one."""
     key = lambda h: F.shiftleft(F.get(places, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) - BUCKETS // 2, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-    return F.array_sort(F.array_distinct(F.transform(_hash_words(line), key)))
-
+    return F.sort_array(F.array_distinct(F.transform(_hash_words(line), key)))
 
-def _parity(keys: Column) -> Column:
-    """64 bits, each the parity of the keys that fall to it; two sets' maps differ in no more bits than the sets."""
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
+def _parity(keys: Column, part: int | None = None) -> Column:
+    """64 bits, each the parity of the keys that fall to it; two sets' maps differ in no more bits than the sets.
 
-def _overlap(a: str, b: str) -> Column:
-    """Least common words of similar sets of these sizes: ceil(t / (1 + t) * (a + b))."""
-    return F.expr(f"({NUM} * ({a} + {b}) + {NUM + DEN - 1}) div {NUM + DEN}")
+    With ``part``, one of four such maps for a quarter of the keys each, which tell more apart.
+    """
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    if part is not None:
+        keys = F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == part)
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k)))
 
 
 def _possible(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters on postings ``a`` and ``b`` of one word."""
+    """Length, positional and bitmap filters on postings ``a`` and ``b`` of one word.
+
+    Similar sets share ceil(t / (1 + t) * (size + size)) words or more.
+    """
     need = f"(({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN})"
     return F.expr(
         f"{DEN} * {a}.n >= {NUM} * {b}.n AND {DEN} * {b}.n >= {NUM} * {a}.n "
@@ -81,7 +84,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(pos, line_no) of every line to remove; ``pos`` is the doc_id, or LAST where it is null."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("pos"), "text")
     every = docs.select("pos", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
-    low = ascii_lower(F.col("line"))
+    low = F.lower("line")
     # Only lines with words take part.
     hashed = every.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("pos", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(7), low).alias("h2"))
     first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("pos", "line_no")).alias("first"))
@@ -90,23 +93,27 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         "lines",
     )
     places = rarity(docs)
-    wanted = flagged.where("is_first").groupBy("pos").agg(F.collect_set("line_no").alias("nos"))
-    sets = lambda chosen: (
-        docs.dropDuplicates(["pos"]).join(chosen, "pos")
-        .select("pos", F.explode("nos").alias("line_no"), _lines(F.col("text")).alias("ls"))
-        .select("pos", "line_no", _keys(F.get("ls", F.col("line_no")), places).alias("keys"))
-    )
+    sets = lambda chosen: every.join(chosen, ["pos", "line_no"], "left_semi").select("pos", "line_no", _keys(F.col("line"), places).alias("keys"))
     prefix = F.expr(f"slice(keys, 1, size(keys) - ({NUM} * size(keys) + {DEN - 1}) div {DEN} + 1)")
-    postings = sets(wanted).select("pos", "line_no", F.size("keys").alias("n"), _parity(F.col("keys")).alias("sig"), F.posexplode(prefix).alias("i", "tok"))
+    described = lambda df: df.withColumns({"n": F.size("keys"), "sig": _parity(F.col("keys")), "prefix": prefix})
+    # Outer, as for the inner kind the optimizer would compute every prefix a second time in a filter.
+    post = F.posexplode_outer("prefix").alias("i", "tok")
+    postings = described(sets(flagged.where("is_first"))).select("pos", "line_no", "n", "sig", post)
+    postings = materialize(postings, "line-postings")  # read twice below, by one exchange
     a, b = postings.alias("a"), postings.alias("b")
-    suspects = a.join(b, (F.expr("a.tok = b.tok AND (a.pos <> b.pos OR a.line_no <> b.line_no)")) & _possible("a", "b"), "left_semi")
-    suspects = materialize(suspects.select("a.pos", "a.line_no").distinct(), "line-suspects")
-    again = sets(suspects.groupBy("pos").agg(F.collect_set("line_no").alias("nos")))
-    whole = again.select("pos", "line_no", "keys", F.size("keys").alias("n"), _parity(F.col("keys")).alias("sig"), F.posexplode(prefix).alias("i", "tok"))
-    a, b = whole.alias("a"), whole.alias("b")
-    common = "size(array_intersect(a.keys, b.keys))"
-    later = "(b.pos < a.pos OR (b.pos = a.pos AND b.line_no < a.line_no))"
-    verified = a.join(b, F.expr(f"a.tok = b.tok AND {later}") & _possible("a", "b") & F.expr(f"{DEN} * {common} >= {NUM} * (a.n + b.n - {common})"), "left_semi").select("a.pos", "a.line_no").distinct()
+    met = a.join(b, (F.expr("a.tok = b.tok AND (a.pos <> b.pos OR a.line_no <> b.line_no)")) & _possible("a", "b"), "left_semi")
+    met = materialize(met.select("a.*"), "line-suspects")
+    maps = {f"s{k}": _parity(F.col("keys"), k) for k in range(4)}
+    whole = materialize(sets(met.select("pos", "line_no").distinct()).withColumns(maps), "line-sets")
+    fine = met.join(whole.drop("keys"), ["pos", "line_no"])
+    a, b = fine.alias("a"), fine.alias("b")
+    apart = " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in maps)
+    near = F.expr(f"{apart} <= a.n + b.n - 2 * (({NUM} * (a.n + b.n) + {NUM + DEN - 1}) div {NUM + DEN})")
+    earlier = F.expr("a.tok = b.tok AND (b.pos < a.pos OR (b.pos = a.pos AND b.line_no < a.line_no))")
+    pairs = a.join(b, earlier & _possible("a", "b") & near).select("a.pos", "a.line_no", F.col("b.pos").alias("pos2"), F.col("b.line_no").alias("line_no2")).distinct()
+    sides = pairs.join(whole.select("pos", "line_no", "keys"), ["pos", "line_no"]).join(whole.select(F.col("pos").alias("pos2"), F.col("line_no").alias("line_no2"), F.col("keys").alias("keys2")), ["pos2", "line_no2"])
+    common = F.size(F.array_intersect("keys", "keys2"))
+    verified = sides.where(DEN * common >= NUM * (F.size("keys") + F.size("keys2") - common)).select("pos", "line_no").distinct()
     return flagged.where("NOT is_first").select("pos", "line_no").unionByName(verified)
 
 
@@ -142,7 +149,7 @@ def op2(spark, sf_dir):
 
 SQL = r"""
 WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
+w AS (SELECT doc_id, no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS s FROM l),
 c AS (SELECT s, min((doc_id, no)) AS f, len(s) AS n FROM w WHERE len(s) > 0 GROUP BY s),
 t AS (SELECT f, n, unnest(s) AS tok FROM c),
 df AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
