@@ -29,6 +29,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back, so that lost executors cost no recomputation."""
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The lineage ends here: let the driver drop its shuffle files now, not at some later collection.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, license_scan, line_dedup, minhash_dedup, sentencepiece_sampling, topk, toxicity, url_filter
+from loomgraph.llm import decontaminate, license_scan, line_dedup, minhash_dedup, sentencepiece_sampling, suffix_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2,
     "op3_decontaminate": decontaminate.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_url_filter": url_filter.op5,
     "op6_sentencepiece": sentencepiece_sampling.op6,
     "op7_license_scan": license_scan.op7,
