@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, license_scan, line_dedup, minhash_dedup, sentencepiece_sampling, suffix_dedup, topk, toxicity, url_filter
+from loomgraph.llm import decontaminate, license_scan, line_dedup, lm_score, minhash_dedup, sentencepiece_sampling, suffix_dedup, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1,
     "op2_line_dedup": line_dedup.op2,
     "op3_decontaminate": decontaminate.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
