@@ -28,9 +28,14 @@ def scratch(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back, so that lost executors cost no recomputation."""
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # The lineage ends here: let the driver drop its shuffle files now, not at some later collection.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    # The lineage ends here: the shuffle files that led here go as soon as the table is written.
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
