@@ -27,7 +27,7 @@ WORDS, COORDS, MATCHES = 5, 128, 86
 NUM, DEN = 85, 100
 #: Most differing bits of one-bit signatures: mean 9.6 and 5.5 standard deviations at 0.85.
 BITS_OFF = 26
-TILE, BUCKETS = 128, 1 << 16
+TILE, BUCKETS = 512, 1 << 16
 _ODD = np.random.default_rng(1).integers(0, 2**32, (2, COORDS), np.uint32) | np.array([[1], [0]], np.uint32)
 _POW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -146,21 +146,18 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def _tiles(suspects: DataFrame) -> DataFrame:
-    """(id, tile): TILE classes to a tile, classes that share their most common coordinate value side by side."""
+    """(id, tile): classes near each other, in parts of about TILE by a hash of the id.
+
+    A class takes its most common coordinate value, then the most common one that is taken by any
+    class it shares a value with, so that one large group has one label.
+    """
     size = suspects.groupBy("tok").agg(F.count("*").alias("c"))
     lead = suspects.join(size, "tok").groupBy("id").agg(F.max(F.struct("c", "tok")).alias("k"))
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        at, part = 0, TaskContext.get().partitionId()
-        for pdf in batches:
-            place = at + np.arange(len(pdf))
-            at += len(pdf)
-            yield pd.DataFrame({"id": pdf["id"], "tile": (np.int64(part) << 32) + place // TILE})
-
-    ordered = lead.select(F.col("k.tok").alias("k"), "id").repartitionByRange("k", "id").sortWithinPartitions("k", "id")
-    return materialize(ordered.mapInPandas(number, "id long, tile long"), "minhash-tiles")
+    near = suspects.join(lead, "id").groupBy("tok").agg(F.max("k").alias("k"))
+    label = materialize(suspects.join(near, "tok").groupBy("id").agg(F.max("k").getField("tok").alias("label")), "minhash-labels")
+    count = label.groupBy("label").agg(F.count("*").alias("c"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / TILE).cast("bigint"))
+    return materialize(label.join(count, "label").select("id", F.xxhash64("label", part).alias("tile")), "minhash-tiles")
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
