@@ -131,12 +131,12 @@ class Model:
         seen[grams] = True
         return np.concatenate([np.array([w in words for w in self.words], bool), seen[self.vote_grams]]).astype(np.float32)
 
-    def mine(self, rows: list[tuple[set, np.ndarray]], y: np.ndarray) -> None:
-        """Words and 4-grams that fire in toxic rows alone, near enough, join the voters."""
+    def mine(self, rows: list[tuple[bytes, np.ndarray]], y: np.ndarray) -> None:
+        """Words (joined by spaces) and 4-grams that fire in toxic rows alone, near enough, join the voters."""
         n, toxic = {}, int(y.sum())
         for (ws, _), t in zip(rows, y):
             if t:
-                for w in ws:
+                for w in ws.split():
                     n[w] = n.get(w, 0) + 1
         least = max(3, toxic // 100)
         often = {w for w, c in n.items() if c >= least} - set(self.words)
@@ -145,7 +145,7 @@ class Model:
         for (ws, g), t in zip(rows, y):
             counts[int(t), g] += 1
             if not t:
-                for w in ws & often:
+                for w in often.intersection(ws.split()):
                     clean[w] += 1
         sure = lambda hit, miss: (hit + 0.5) / (hit + miss * max(1, toxic) / max(1, len(y) - toxic) + 1)
         mined = sorted(((-n[w] * sure(n[w], clean[w]), w) for w in often if sure(n[w], clean[w]) > 0.9))
@@ -190,16 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon=LE
     # At most fit_rows ids: a proven bound for the broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(featurise, "toxic int, words binary, grams binary").limit(2 * fit_rows).toPandas()
     y = rows["toxic"].to_numpy() == 1
-    found = [(set(bytes(w).split()), np.frombuffer(bytes(g), "<u2").astype(np.int64)) for w, g in zip(rows["words"], rows["grams"])]
+    found = [(bytes(w), np.frombuffer(bytes(g), "<u2")) for w, g in zip(rows["words"], rows["grams"])]
+    del rows
     if y.any() and not y.all():
         model.mine(found, y)
-        votes = np.array([model.votes(*r) for r in found])
+        votes = np.array([model.votes(set(w.split()), g) for w, g in found])
         model.labels = LabelModel.start(votes, y)
         _refine(model, docs)
         target = np.clip(model.labels.posterior(votes, y.astype(float)), 0.001, 0.999)
         x = np.empty((len(found), model.n_votes + len(model.grams)), np.float32)
-        for k, r in enumerate(found):
-            x[k] = model.features(*r)
+        for k, (w, g) in enumerate(found):
+            x[k] = model.features(set(w.split()), g)
+        del found
         model.w, model.b = _logistic(x, target)
         model.b -= _threshold(x, target)
     else:
