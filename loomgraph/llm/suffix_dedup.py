@@ -81,6 +81,26 @@ def contexts(raw: bytes, at: np.ndarray):
 _ROW = np.dtype([("kmer", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """Rows by column, in document order, each column as differences: half the size of rows once compressed."""
+    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+    back, ahead = (rows["at"] - rows["lo"]).astype(np.uint8), (rows["hi"] - rows["at"]).astype(np.uint8)
+    doc, at = np.diff(rows["doc"], prepend=0), np.diff(rows["at"], prepend=0).astype("<i4")
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(rows), -1).T.tobytes() for x in (doc.astype("<i8"), at)]
+    return b"".join([rows["kmer"].tobytes(), rows["ctx"].tobytes(), *planes, back.tobytes(), ahead.tobytes()])
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = len(blob) // 30
+    rows = np.empty(n, _ROW)
+    part = lambda k, w: np.frombuffer(blob, np.uint8, n * w, n * k)
+    rows["kmer"], rows["ctx"] = part(0, 8).view("<u8"), part(8, 8).view("<u8")
+    rows["doc"] = np.cumsum(np.ascontiguousarray(part(16, 8).reshape(8, n).T).view("<i8").ravel())
+    rows["at"] = np.cumsum(np.ascontiguousarray(part(24, 4).reshape(4, n).T).view("<i4").ravel())
+    rows["lo"], rows["hi"] = rows["at"] - part(28, 1), rows["at"] + part(29, 1)
+    return rows
+
+
 def _firsts(rows: np.ndarray):
     """Of rows sorted by (kmer, ctx, doc): which belong to their context's smallest document."""
     order = np.lexsort((rows["at"], rows["doc"], rows["ctx"], rows["kmer"]))
@@ -113,36 +133,34 @@ class Family:
         self.levels.append(level)
 
 
-def windows(raw: bytes, lo: int, at: int):
-    """Starts and keys of the 50-byte windows of a context that hold its anchor; a last byte keeps trailing zeros."""
-    n = min(len(raw) - SPAN, at - lo) + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, f"S{SPAN + 1}")
-    flat = np.frombuffer(raw, np.uint8)
-    grid = np.empty((n, SPAN + 1), np.uint8)
-    grid[:, :SPAN] = np.lib.stride_tricks.sliding_window_view(flat, SPAN)[:n]
-    grid[:, SPAN] = 1
-    return lo + np.arange(n), grid.view(f"S{SPAN + 1}").ravel()
+def windows(raw: list, lo: np.ndarray, at: np.ndarray):
+    """(context, start, key) of the 50-byte windows of contexts that hold their anchor; a last byte keeps trailing zeros."""
+    size = np.array([len(r) for r in raw])
+    n = np.minimum(size - SPAN, at - lo) + 1
+    wide = np.zeros((len(raw), SPAN + WINDOW), np.uint8)
+    wide[np.arange(wide.shape[1]) < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+    which, k = np.nonzero(np.arange(WINDOW) < n[:, None])
+    grid = np.ones((len(which), SPAN + 1), np.uint8)
+    grid[:, :SPAN] = np.lib.stride_tricks.sliding_window_view(wide, SPAN, axis=1)[which, k]
+    return which, lo[which] + k, grid.view(f"S{SPAN + 1}").ravel()
 
 
 def covered(doc: np.ndarray, at: np.ndarray, lo: np.ndarray, raw: list, batch: int = BATCH):
     """(doc, start) of windows that also start in a smaller document, of contexts given by document."""
     family, out = Family(), []
     order = np.argsort(doc, kind="stable")
+    doc, at, lo = doc[order], at[order], lo[order]
+    new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     k = 0
-    while k < len(order):
-        starts, keys, docs, size, last = [], [], [], 0, None
-        while k < len(order) and (size < batch or doc[order[k]] == last):  # a document is never split
-            i = order[k]
-            s, w = windows(raw[i], int(lo[i]), int(at[i]))
-            starts.append(s)
-            keys.append(w)
-            docs.append(np.full(len(s), doc[i]))
-            size, last, k = size + len(s), doc[i], k + 1
-        if not size:
+    while k < len(doc):
+        # About a batch of windows; a document is never split.
+        stop = np.searchsorted(new, k + max(1, batch // WINDOW))
+        stop = int(new[stop]) if stop < len(new) else len(doc)
+        which, start, key = windows([raw[i] for i in order[k:stop]], lo[k:stop], at[k:stop])
+        own, k = doc[k:stop][which], stop
+        if not len(own):
             continue
-        start, key, own = np.concatenate(starts), np.concatenate(keys), np.concatenate(docs)
-        suffixes = np.lexsort((own, key))
+        suffixes = np.argsort(key, kind="stable")  # within a key by document, as the contexts are
         start, key, own = start[suffixes], key[suffixes], own[suffixes]
         head = np.r_[True, key[1:] != key[:-1]]
         least = own[np.flatnonzero(head)][np.cumsum(head) - 1]
@@ -173,7 +191,7 @@ def spans(docs: DataFrame) -> DataFrame:
             pieces = np.split(rows, cut[1:]) if len(rows) else []
             # Spans known already ride along, a share with each piece.
             share = np.array_split(gone[["doc", "lo", "hi"]], max(1, len(pieces)))
-            return pd.DataFrame({"shard": shard[cut] if len(rows) else [], "rows": [p.tobytes() for p in pieces], "gone": [np.ascontiguousarray(g).astype(_SPAN_ROW).tobytes() for g in share][: len(pieces)]})
+            return pd.DataFrame({"shard": shard[cut] if len(rows) else [], "rows": [pack(p) for p in pieces], "gone": [np.ascontiguousarray(g).astype(_SPAN_ROW).tobytes() for g in share][: len(pieces)]})
 
         for pdf in batches:
             for d, raw in zip(pdf["doc"], pdf["raw"]):
@@ -193,7 +211,7 @@ def spans(docs: DataFrame) -> DataFrame:
             yield flush()
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, own, head = _firsts(np.frombuffer(b"".join(pdf["rows"]), _ROW))
+        rows, own, head = _firsts(np.concatenate([unpack(bytes(r)) for r in pdf["rows"]]))
         gone = np.frombuffer(b"".join(pdf["gone"]), _SPAN_ROW)
         out = [(gone["doc"], gone["lo"], gone["hi"], np.full(len(gone), -1), np.zeros(len(gone), np.int64))]
         c = rows[~own]
@@ -207,21 +225,23 @@ def spans(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(dict(zip(("doc", "lo", "hi", "at", "kmer"), cols)))
 
     settled = materialize(docs.mapInPandas(post, "shard long, rows binary, gone binary").groupBy("shard").applyInPandas(settle, "doc long, lo int, hi int, at int, kmer long"), "suffix-settled")
+    # Arrays of plain numbers reach Python as numpy arrays; arrays of structs would be objects each.
     asked = settled.where("at >= 0").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi", "kmer"))).alias("ask"))
+    asked = asked.select("doc", "ask.at", "ask.lo", "ask.hi", "ask.kmer")
 
     def fetch(batches):
-        for pdf in batches:
+        for pdf in (whole.iloc[k : k + 500] for whole in batches for k in range(0, len(whole), 500)):
             out = {"shard": [], "doc": [], "at": [], "lo": [], "kmer": [], "raw": []}
-            for d, raw, ask in zip(pdf["doc"], pdf["raw"], pdf["ask"]):
+            for d, raw, *ask in zip(*(pdf[c] for c in ("doc", "raw", "at", "lo", "hi", "kmer"))):
                 raw = bytes(raw)
-                for a in ask:
-                    for k, v in zip(out, (a["kmer"] % shards, d, a["at"], a["lo"], a["kmer"], raw[a["lo"] : a["hi"]])):
+                for at, lo, hi, kmer in zip(*(x.tolist() for x in ask)):
+                    for k, v in zip(out, (kmer % shards, d, at, lo, kmer, raw[lo:hi])):
                         out[k].append(v)
             yield pd.DataFrame(out)
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         found = covered(pdf["doc"].to_numpy(), pdf["at"].to_numpy(), pdf["lo"].to_numpy(), [bytes(r) for r in pdf["raw"]])
-        if not found:
+        if not any(len(f[0]) for f in found):
             return pd.DataFrame({"doc": [], "lo": [], "hi": []}).astype("int64")
         doc, start = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         order = np.lexsort((start, doc))
@@ -255,21 +275,19 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     What stays need not be valid UTF-8, so it is binary. Other columns are ignored.
     """
     found = spans(docs).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    found = found.select("doc", "gone.lo", "gone.hi")
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (whole.iloc[k : k + 1000] for whole in batches for k in range(0, len(whole), 1000)):
             out = []
-            for raw, gone in zip(pdf["raw"], pdf["gone"]):
+            for raw, lo, hi in zip(pdf["raw"], pdf["lo"], pdf["hi"]):
                 raw = bytes(raw)
-                if gone is None or not len(gone):
-                    out.append((0, 0, raw))
-                else:
-                    out.append(cut(raw, np.array([g["lo"] for g in gone]), np.array([g["hi"] for g in gone])))
+                out.append((0, 0, raw) if lo is None or not len(lo) else cut(raw, lo, hi))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(r) for r in pdf["raw"]], "n_removed": [o[0] for o in out], "n_spans": [o[1] for o in out], "kept": [o[2] for o in out]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.join(found, "doc", "left").select("doc_id", "raw", "gone").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return own.join(found, "doc", "left").select("doc_id", "raw", "lo", "hi").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4(spark, sf_dir):
