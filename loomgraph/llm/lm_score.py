@@ -15,6 +15,7 @@ overlapping windows under a causal mask; every token counts once, in the first w
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,11 @@ from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table
 
 RAW_IDS, END = 50257, 50256
 VOCAB, DIM, CLASSES = 4096, 16, 32
-WINDOW, STRIDE = 32, 26
+WINDOW, STRIDE = 32, 28
 SHARD_WINDOWS, HEAD_WORDS, PART_WORDS = 4096, 8192, 4_000_000
 END_WORD = xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
 #: Words that a worker's cache may hold, and bytes gathered before a task emits.
-CACHE_WORDS, FLUSH_BYTES = 1_500_000, 24 << 20
+CACHE_WORDS, FLUSH_BYTES = 400_000, 24 << 20
 
 
 def default_vocabulary() -> str:
@@ -47,6 +48,8 @@ class Words:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}
+        self.bytes = np.zeros(RAW_IDS, np.int64)
+        self.bytes[list(ranks.values())] = [len(k) for k in ranks]
         self.split = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.clear()
 
@@ -54,21 +57,32 @@ class Words:
         self.index: dict[bytes, int] = {}
         self.hash, self.flat, self.off = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
+    def encode(self, words: list[bytes]):
+        """(ids, number of ids of each word). One call for all: words part at spaces, which is checked."""
+        texts = [" " + w.decode("utf-8", "replace") for w in words]
+        ids = np.array(self.split("".join(texts)), np.int64)
+        ends, stops = np.cumsum(self.bytes[ids]), np.cumsum([len(t.encode()) for t in texts])
+        i = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+        if (ends[i] == stops).all():
+            return ids, np.diff(i + 1, prepend=0)
+        each = [self.split(t) for t in texts]  # some word's end lies within a piece
+        return np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
+
     def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Places of each text's words in the cache."""
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        flat = [w for ws in texts for w in ws]
+        """Places of each text's words in the cache; the caller clears a full one."""
+        flat = list(chain.from_iterable(texts))
         found = list(map(self.index.get, flat))
         if None in found:
-            new = list(dict.fromkeys(w for w, k in zip(flat, found) if k is None))
-            ids = [self.split(" " + w.decode("utf-8", "replace")) for w in new]
+            miss = [i for i, k in enumerate(found) if k is None]
+            new = list(dict.fromkeys(flat[i] for i in miss))
+            ids, sizes = self.encode(new)
             base = len(self.index)
             self.index.update((w, base + i) for i, w in enumerate(new))
             self.hash = np.concatenate([self.hash, np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint16)])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in ids])])
-            found = list(map(self.index.get, flat))
+            self.flat = np.concatenate([self.flat, ids.astype(np.uint16)])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
+            for i in miss:
+                found[i] = self.index[flat[i]]
         return np.split(np.array(found, np.int64), np.cumsum([len(t) for t in texts])[:-1])
 
     def subwords(self, at: np.ndarray) -> np.ndarray:
@@ -203,7 +217,7 @@ class Model:
             self.p[k] = flat[at : at + v.size].reshape(v.shape).copy()
             at += v.size
 
-    def score(self, texts: list[np.ndarray], chunk: int = 512) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], chunk: int = 128) -> np.ndarray:
         """log10 probability of each sequence of raw ids after its first."""
         n = np.array([len(t) - 1 for t in texts])
         count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
@@ -244,33 +258,48 @@ def count(docs: DataFrame, blob, parts: int) -> DataFrame:
 
     def run(batches):
         words = _words(blob.value)
-        hs, pairs, wins, size = [], [], [], 0
+        seen, cross, wins, texts, size = [], [], [], 0, 0
 
         def flush():
-            rows = []
-            h, n = np.unique(np.concatenate(hs), return_counts=True)
-            rows += [("w", k, a.tobytes(), b.astype(np.int64).tobytes()) for k, a, b in _grouped(_part(h, parts), h, n)]
-            k, n = np.unique(np.concatenate(pairs), return_counts=True)
-            rows += [("b", p, a.tobytes(), b.astype(np.int64).tobytes()) for p, a, b in _grouped((k >> np.uint32(16)).astype(np.int64) % 64, k, n)]
+            n = np.bincount(np.concatenate(seen), minlength=len(words.index)) if seen else np.zeros(0, np.int64)
+            used = np.flatnonzero(n)
+            h, c = np.append(words.hash[used], np.uint64(END_WORD)), np.append(n[used], texts)
+            rows = [("w", k, a.tobytes(), b.astype(np.int64).tobytes()) for k, a, b in _grouped(_part(h, parts), h, c)]
+            # Pairs within words follow from the words' counts; those across were gathered.
+            inner = np.ones(len(words.flat), bool)
+            inner[words.off[1:][words.off[1:] < len(inner)]] = inner[:1] = False
+            owner = np.repeat(np.arange(len(words.index)), np.diff(words.off))
+            at = np.flatnonzero(inner & (n[owner] > 0) if len(owner) else inner)
+            flat = words.flat.astype(np.uint32)
+            key = np.concatenate([flat[at - 1] << np.uint32(16) | flat[at], *cross])
+            k, inv = np.unique(key, return_inverse=True)
+            c = np.bincount(inv, weights=np.concatenate([n[owner[at]], np.ones(len(key) - len(at))])).astype(np.int64)
+            rows += [("b", p, a.tobytes(), b.tobytes()) for p, a, b in _grouped((k >> np.uint32(16)).astype(np.int64) % 64, k, c)]
             rows.append(("t", int(h[0] >> np.uint64(1)), np.concatenate(wins).astype("<i4").tobytes(), b""))
+            if len(words.index) > CACHE_WORDS:
+                words.clear()
             return pd.DataFrame(rows, columns=["kind", "part", "a", "b"])
 
         for whole in batches:
             for pdf in _batches(whole):
                 for d, at in zip(pdf["doc_id"], words.look_up([split_words(x) for x in pdf["text"]])):
-                    hs += [words.hash[at], np.array([END_WORD], np.uint64)]
-                    ids = words.subwords(at).astype(np.uint32)
-                    pairs.append(ids[:-1] << np.uint32(16) | ids[1:])
-                    # The window's place comes from the text's hash, so it covers all of a long text alike.
-                    k = int(xxhash.xxh3_64_intdigest(str(d))) % max(1, len(ids) - WINDOW)
+                    seen.append(at)
+                    first, last = words.flat[words.off[at]].astype(np.uint32), words.flat[words.off[at + 1] - 1].astype(np.uint32)
+                    cross.append(np.append(np.uint32(END), last) << np.uint32(16) | np.append(first, np.uint32(END)))
+                    # The window's place comes from the id's hash, so windows fall anywhere in long texts.
+                    k = int(xxhash.xxh3_64_intdigest(str(d))) % max(1, len(at) - WINDOW // 4)
+                    ids = words.subwords(at[max(0, k - 1) : k + WINDOW + 1])
+                    # It starts with the end, or with the last subword before its first word.
+                    ids = ids[int(words.off[at[k - 1] + 1] - words.off[at[k - 1]]) if k else 0 : len(ids) - (k + WINDOW + 1 < len(at))]
                     w = np.full(WINDOW + 1, -1, np.int64)
-                    w[: len(ids[k : k + WINDOW + 1])] = ids[k : k + WINDOW + 1]
+                    w[: len(ids[: WINDOW + 1])] = ids[: WINDOW + 1]
                     wins.append(w)
-                    size += 8 * len(at) + 64
-                if size > FLUSH_BYTES:
+                    texts += 1
+                    size += 12 * len(at) + 300
+                if size > FLUSH_BYTES or len(words.index) > CACHE_WORDS:
                     yield flush()
-                    hs, pairs, wins, size = [], [], [], 0
-        if hs:
+                    seen, cross, wins, texts, size = [], [], [], 0, 0
+        if texts:
             yield flush()
 
     return docs.mapInPandas(run, _COUNTS)
@@ -378,8 +407,11 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         words, (own, (hh, hn)) = _words(blob.value), shared.value
         uid = np.int64(TaskContext.get().partitionId()) << 40
-        held = []
-        done = 0
+        held, done = [], 0
+        hit = np.zeros(0, np.int64)  # place of each cached word among the heads, -1 for none
+        head_log = np.log10(hn + 0.5)
+        end_at = int(np.searchsorted(hh, np.uint64(END_WORD)))
+        end_log = float(np.log10(hn[end_at] + 0.5)) if end_at < len(hh) and hh[end_at] == np.uint64(END_WORD) else None
 
         def flush():
             h, u = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
@@ -391,16 +423,24 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for pdf in _batches(whole):
                 places = words.look_up([split_words(x) for x in pdf["text"]])
                 scores = own.score([words.subwords(at) for at in places])
+                if len(hit) < len(words.hash):
+                    new = words.hash[len(hit) :]
+                    i = np.minimum(np.searchsorted(hh, new), max(0, len(hh) - 1))
+                    hit = np.concatenate([hit, np.where(hh[i] == new, i, -1) if len(hh) else np.full(len(new), -1)])
                 logs, known = [], []
                 for k, at in enumerate(places):
-                    h = np.append(words.hash[at], np.uint64(END_WORD))
-                    i = np.minimum(np.searchsorted(hh, h), max(0, len(hh) - 1))
-                    is_head = hh[i] == h if len(hh) else np.zeros(len(h), bool)
-                    logs.append(float(np.log10(hn[i[is_head]] + 0.5).sum()) if len(hh) else 0.0)
-                    known.append(int(is_head.sum()))
-                    tail = h[~is_head]
+                    i = hit[at]
+                    tail = words.hash[at[i < 0]]
+                    i = i[i >= 0]
+                    if end_log is None:
+                        tail = np.append(tail, np.uint64(END_WORD))
+                    logs.append(float(head_log[i].sum()) + (end_log or 0.0))
+                    known.append(len(i) + (end_log is not None))
                     held.append((tail, np.full(len(tail), uid + k)))
                     done += 12 * len(tail)
+                if len(words.index) > CACHE_WORDS:
+                    words.clear()
+                    hit = hit[:0]
                 yield pd.DataFrame({"uid": uid + np.arange(len(pdf)), "doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": [len(p) + 1 for p in places], "log": logs, "known": known, "score": scores})
                 uid += len(pdf)
                 if done > FLUSH_BYTES:
@@ -418,17 +458,29 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def rate(tails: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(map(bytes, tails["h"])), "<u8")
-        u = np.concatenate([np.frombuffer(bytes(x), "<u4").astype(np.int64) + b for x, b in zip(tails["u"], tails["uid"])]) if len(tails) else np.zeros(0, np.int64)
         c = np.zeros(len(h))
         if len(counts):
             k, n = np.frombuffer(bytes(counts["a"].iloc[0]), "<u8"), np.frombuffer(bytes(counts["b"].iloc[0]), np.int64)
             i = np.minimum(np.searchsorted(k, h), len(k) - 1)
             c = np.where(k[i] == h, n[i], 0)
-        ids, inv = np.unique(u, return_inverse=True)
-        return pd.DataFrame({"uid": ids, "log": np.bincount(inv, weights=np.log10(c + 0.5), minlength=len(ids)), "known": np.bincount(inv, weights=c > 0, minlength=len(ids)).astype(np.int64)})
+        # One row for each piece of a task's texts, so that rows don't multiply with the parts.
+        out, k, logs = [], 0, np.log10(c + 0.5)
+        for base, x in zip(tails["uid"], tails["u"]):
+            u = np.frombuffer(bytes(x), "<u4")
+            s = slice(k, k + len(u))
+            k += len(u)
+            ids, inv = np.unique(u, return_inverse=True)
+            out.append((base, ids.tobytes(), np.bincount(inv, weights=logs[s]).tobytes(), np.bincount(inv, weights=c[s] > 0).tobytes()))
+        return pd.DataFrame(out, columns=["base", "u", "log", "known"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        join = lambda col, t: np.frombuffer(b"".join(map(bytes, pdf[col])), t)
+        ids, inv = np.unique(join("u", "<u4"), return_inverse=True)
+        total = [np.bincount(inv, weights=join(c, np.float64)) for c in ("log", "known")]
+        return pd.DataFrame({"uid": ids.astype(np.int64) + int(pdf["base"].iloc[0]), "tail_log": total[0], "tail_known": total[1].astype(np.int64)})
 
-    tails = scored.where("part IS NOT NULL").select(F.col("part").alias("k"), "uid", "h", "u").groupBy("k").cogroup(words.select(F.col("part").alias("k2"), "a", "b").groupBy("k2")).applyInPandas(rate, "uid long, log double, known long")
-    rare = tails.groupBy("uid").agg(F.sum("log").alias("tail_log"), F.sum("known").alias("tail_known"))
+    tails = scored.where("part IS NOT NULL").select(F.col("part").alias("k"), "uid", "h", "u").groupBy("k").cogroup(words.select(F.col("part").alias("k2"), "a", "b").groupBy("k2")).applyInPandas(rate, "base long, u binary, log binary, known binary")
+    rare = tails.groupBy("base").applyInPandas(add, "uid long, tail_log double, tail_known long")
     per_token = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
     return scored.where("part IS NULL").join(rare, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
