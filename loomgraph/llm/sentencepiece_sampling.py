@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Edges that a worker's unit cache may hold before it starts anew.
-CACHE_EDGES = 6_000_000
+CACHE_EDGES = 2_000_000
 
 
 def default_model() -> str:
@@ -252,7 +252,7 @@ def _sampler(blob: bytes, alpha: float) -> Sampler:
     return _WORKER[k]
 
 
-def _chunks(pdf: pd.DataFrame, chars: int = 1_000_000):
+def _chunks(pdf: pd.DataFrame, chars: int = 600_000):
     """Slices of about so many characters, one row at least."""
     size = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).to_numpy()
     cut = np.cumsum(size) // chars
