@@ -81,15 +81,25 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _parts(x: np.ndarray, rows: int = 1024):
+    """Slices of small-integer features as floats, so that only a slice is ever held so."""
+    for k in range(0, len(x), rows):
+        yield slice(k, k + rows), x[k : k + rows].astype(np.float32)
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([p @ w for _, p in _parts(x)])
+
+
 def _logistic(x: np.ndarray, target: np.ndarray, l2: float = 3.0, rounds: int = 120):
     """Logistic regression on soft targets by accelerated gradient steps; (weights, bias)."""
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log(target.mean() / (1 - target.mean())))
     mw, mb, t = w.copy(), b, 1.0
-    step = 4.0 / (np.linalg.norm(x[:512]) ** 2 / max(1, min(512, len(x))) + 1)
+    step = 4.0 / (np.linalg.norm(x[:512].astype(np.float32)) ** 2 / max(1, min(512, len(x))) + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ mw + mb, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(_times(x, mw) + mb, -30, 30)))
         g = (p - target).astype(np.float32)
-        nw, nb = mw - step * (x.T @ g / len(x) + l2 * mw / len(x)), mb - step * g.mean()
+        nw, nb = mw - step * (sum(p.T @ g[k] for k, p in _parts(x)) / len(x) + l2 * mw / len(x)), mb - step * g.mean()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         mw, mb, w, b, t = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b), nw, nb, nt
     return w, b
@@ -102,7 +112,7 @@ def _threshold(x: np.ndarray, target: np.ndarray) -> np.float32:
         if not 0 < (target[side] > 0.5).sum() < side.sum():
             return np.float32(0)
         w, b = _logistic(x[side], target[side])
-        z[~side] = x[~side] @ w + b
+        z[~side] = _times(x[~side], w) + b
     order = np.argsort(z)
     t = target[order]
     # Weighted so that a clean row lost costs as much as two toxic rows missed.
@@ -198,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon=LE
         model.labels = LabelModel.start(votes, y)
         _refine(model, docs)
         target = np.clip(model.labels.posterior(votes, y.astype(float)), 0.001, 0.999)
-        x = np.empty((len(found), model.n_votes + len(model.grams)), np.float32)
+        x = np.empty((len(found), model.n_votes + len(model.grams)), np.uint8)
         for k, (w, g) in enumerate(found):
             x[k] = model.features(set(w.split()), g)
         del found
