@@ -15,12 +15,17 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Edges that a worker's unit cache may hold before it starts anew.
-CACHE_EDGES = 2_000_000
+CACHE_EDGES = 5_000_000
+#: Bytes of text that go through the lattice at a time, if one text has no more.
+CHUNK_BYTES = 400_000
+#: Types that a document's id may have.
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def default_model() -> str:
@@ -111,9 +116,19 @@ class Sampler:
 
     def clear(self):
         self.index: dict[str, int] = {}
-        self.last = np.zeros(0, np.int64)  # last node of each unit
-        self.first_edge = np.zeros(1, np.int64)  # by node
-        self.cum, self.src, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.units = self.nodes = self.edges = 0
+        self.last = np.zeros(1 << 10, np.int32)  # last node of each unit
+        self.first_edge = np.zeros(1 << 10, np.int32)  # by node
+        # Of each edge: the probability of it and those before it at its node, in units of 2^-32; whence; piece.
+        self.cum, self.src, self.piece = np.zeros(1 << 10, np.uint32), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32)
+
+    def _append(self, name: str, at: int, new: np.ndarray) -> None:
+        """Writes ``new`` from ``at`` on, in place where there is room."""
+        a = getattr(self, name)
+        if at + len(new) > len(a):
+            a = np.concatenate([a[:at], np.zeros(max(at // 2, len(new)), a.dtype)])
+            setattr(self, name, a)
+        a[at : at + len(new)] = new
 
     def learn(self, units: list[str]) -> None:
         """Forward filtering over new units."""
@@ -149,38 +164,41 @@ class Sampler:
         src, dst = src + shift, dst + shift
         begin = ends - n + np.arange(len(units))
         depth = dst - begin[shift]
-        order = np.lexsort((src, dst))
+        order = np.argsort(dst, kind="stable")  # runs of one length each are sorted already
         src, dst, pid, logw, depth = src[order], dst[order], pid[order], logw[order], depth[order]
         nodes = len(flat) + len(units)
-        first = np.searchsorted(dst, np.arange(nodes + 1))
+        first = np.concatenate([[0], np.cumsum(np.bincount(dst, minlength=nodes))])
         la = np.zeros(nodes)
         cum = np.empty(len(src))
-        level = np.argsort(depth, kind="stable")
+        level = np.argsort(depth.astype(np.int16) if n.max() < 1 << 15 else depth, kind="stable")  # short keys sort by radix
         cuts = np.concatenate([[0], np.cumsum(np.bincount(depth)[1:])]) if len(depth) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):  # one boundary of every unit at a time
             e = level[a:b]
             if not len(e):
                 continue
-            v = la[src[e]] + logw[e]
-            head = np.flatnonzero(np.r_[True, dst[e][1:] != dst[e][:-1]])
+            v, to = la[src[e]] + logw[e], dst[e]
+            head = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
             size = np.diff(np.r_[head, len(e)])
             top = np.maximum.reduceat(v, head)
             w = np.exp(v - np.repeat(top, size))
             total = np.add.reduceat(w, head)
-            la[dst[e][head]] = top + np.log(total)
+            la[to[head]] = top + np.log(total)
             w /= np.repeat(total, size)
-            c = np.cumsum(w)
-            cum[e] = c - np.repeat(c[head] - w[head], size)
-        base_n, base_e = len(self.first_edge) - 1, len(self.src)
-        for u in units:
-            self.index[u] = len(self.index)
-        self.last = np.concatenate([self.last, begin + n + base_n])
-        self.first_edge = np.concatenate([self.first_edge, first[1:] + base_e])
-        self.cum, self.src, self.piece = np.concatenate([self.cum, cum]), np.concatenate([self.src, src + base_n]), np.concatenate([self.piece, pid.astype(np.int32)])
+            cum[e] = w
+        # In whole numbers, so that the sums don't depend on the other units of the batch.
+        total = np.concatenate([[0], np.cumsum((cum * (2.0**32 - 1)).astype(np.int64))])
+        cum = total[1:] - np.repeat(total[first[:-1]], np.diff(first))
+        for k, u in enumerate(units, self.units):
+            self.index[u] = k
+        self._append("last", self.units, begin + n + self.nodes)
+        self._append("first_edge", self.nodes, first + self.edges)
+        for name, values in (("cum", cum), ("src", src + self.nodes), ("piece", pid)):
+            self._append(name, self.edges, values)
+        self.units, self.nodes, self.edges = self.units + len(units), self.nodes + nodes, self.edges + len(src)
 
     def sample(self, rows: list[list[str]], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each row."""
-        if len(self.src) > CACHE_EDGES:
+        if self.edges > CACHE_EDGES:
             self.clear()
         units = list(chain.from_iterable(rows))
         known = list(map(self.index.get, units))
@@ -200,12 +218,14 @@ class Sampler:
             at, node, lo, hi = at[live], node[live], lo[live], hi[live]
             if not len(at):
                 break
-            u = (_mix(seed[at] + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             e = lo
-            more = np.flatnonzero((self.cum[e] <= u) & (e < hi - 1))
+            more = np.flatnonzero(hi - lo > 1)  # no choice, no draw
+            u, hi = (_mix(seed[at[more]] + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(32)).astype(np.uint32), hi[more] - 1
             while len(more):
+                k = e[more]
+                on = np.flatnonzero((self.cum[k] <= u) & (k < hi))
+                more, u, hi = more[on], u[on], hi[on]
                 e[more] += 1
-                more = more[(self.cum[e[more]] <= u[more]) & (e[more] < hi[more] - 1)]
             who.append(at)
             what.append(self.piece[e])
             node, t = self.src[e], t + 1
@@ -304,6 +324,12 @@ def segment(sampler: Sampler, texts: list[str], seeds: np.ndarray) -> list[np.nd
     return out
 
 
+def decode_ids(pieces: Pieces, ids: np.ndarray) -> bytes:
+    """UTF-8 bytes of a segmentation, exactly those of the text that was encoded."""
+    ids = ids.astype(np.int64)
+    return pieces.flat[_runs(pieces.off[ids], pieces.lens[ids])].tobytes()
+
+
 def decode(df: DataFrame, model: str | None = None) -> DataFrame:
     """Replaces ``piece_ids`` by the ``decoded`` text, exactly the text that was encoded; null ids give null."""
     with open(model or default_model(), "rb") as f:
@@ -314,23 +340,44 @@ def decode(df: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches):
         p = _sampler(blob.value, 1.0).p if not _WORKER else next(iter(_WORKER.values())).p
         for pdf in batches:
-            out = []
-            for raw in pdf["piece_ids"]:
-                if raw is None:
-                    out.append(None)
-                    continue
-                ids = np.frombuffer(raw, "<i4").astype(np.int64)
-                out.append(p.flat[_runs(p.off[ids], p.lens[ids])].tobytes().decode("utf-8", "surrogatepass"))
+            out = [None if raw is None else decode_ids(p, np.frombuffer(raw, "<i4")).decode("utf-8", "surrogatepass") for raw in pdf["piece_ids"]]
             yield pdf.drop(columns="piece_ids").assign(decoded=out)
 
     return df.mapInPandas(run, schema)
 
 
-def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256, decoded_sha256, lossless: encoded, then decoded and compared."""
-    coded = encode(docs, **options).withColumn("ids_sha256", F.sha2("piece_ids", 256))
-    back = decode(coded, options.get("model"))
-    return back.select("doc_id", "n_pieces", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+def round_trip(docs: DataFrame, model: str | None = None, alpha: float = 1.0) -> DataFrame:
+    """doc_id, n_pieces, ids_sha256, decoded_sha256, lossless: encoded, then decoded and compared.
+
+    Both ways in one worker, so that neither ids nor decoded texts leave it. A null text has null
+    hashes, no pieces, and counts as lossless.
+    """
+    with open(model or default_model(), "rb") as f:
+        blob = docs.sparkSession.sparkContext.broadcast(f.read())
+    schema = pa.schema([("doc_id", _ARROW[docs.schema["doc_id"].dataType.simpleString()]), ("n_pieces", pa.int32()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
+
+    def run(batches):
+        sampler = _sampler(blob.value, alpha)
+        for batch in batches:
+            keys, column = batch.column(0), batch.column(1)
+            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            cut = np.cumsum(size, dtype=np.int64) // CHUNK_BYTES
+            starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if len(cut) else []
+            for lo, hi in zip(starts, [*starts[1:], len(cut)]):
+                texts = column.slice(lo, hi - lo).to_pylist()
+                ids = segment(sampler, [x or "" for x in texts], np.array([row_seed(k) for k in keys.slice(lo, hi - lo).to_pylist()], np.uint64))
+                rows = []
+                for x, i in zip(texts, ids):
+                    if x is None:
+                        rows.append((0, None, None, True))
+                        continue
+                    back = decode_ids(sampler.p, i)
+                    rows.append((len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == x.encode("utf-8", "surrogatepass")))
+                columns = [keys.slice(lo, hi - lo), *(pa.array(v, f.type) for v, f in zip(zip(*rows), list(schema)[1:]))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    out = ", ".join(["doc_id " + docs.schema["doc_id"].dataType.simpleString(), "n_pieces int, ids_sha256 string, decoded_sha256 string, lossless boolean"])
+    return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
 def op6(spark, sf_dir):
