@@ -47,7 +47,7 @@ def ascii_lower(col: Column) -> Column:
 def words(col: Column) -> Column:
     """Maximal runs of characters other than space and tab to carriage return; null gives none."""
     parts = F.split(F.coalesce(col, F.lit("")), "[\\x20\\x09-\\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")
 
 
 def held_out(doc_id: Column, remainder: int, modulus: int = 5) -> Column:

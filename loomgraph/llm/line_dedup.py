@@ -3,7 +3,7 @@
 A line is the set of its lower-cased words. It is removed if an earlier line (by doc_id, then line
 number) has a Jaccard similarity of ``THRESHOLD`` or more; lines without words stay. Steps:
 
-1. copies of one line text collapse to the first, by a combining aggregate;
+1. copies of one line text collapse to the first, by a combining aggregate; only these go on;
 2. words are ordered by rarity, counted over all documents in a table of fixed size that maps
    each 64-bit word hash one to one to a sort key;
 3. first lines are posted under their prefix, the words rare enough that two similar lines share
@@ -25,6 +25,8 @@ NUM, DEN = 4, 5
 BUCKETS = 1 << 16
 #: Documents without an id come after all others.
 LAST = 2**63 - 1
+#: A character of a word.
+WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _lines(text: Column) -> Column:
@@ -80,25 +82,26 @@ def _possible(a: str, b: str) -> Column:
     )
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(pos, line_no) of every line to remove; ``pos`` is the doc_id, or LAST where it is null."""
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """(pos, line_no) of every line with words that stays; ``pos`` is the doc_id, or LAST where it is null."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("pos"), "text")
-    every = docs.select("pos", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+    every = docs.select("pos", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).where(F.col("line").rlike(WORD))
     low = F.lower("line")
-    # Only lines with words take part.
-    hashed = every.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("pos", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(7), low).alias("h2"))
-    first = hashed.groupBy("h1", "h2").agg(F.min(F.struct("pos", "line_no")).alias("first"))
-    flagged = materialize(
-        hashed.join(first, ["h1", "h2"]).select("pos", "line_no", ((F.col("pos") == F.col("first.pos")) & (F.col("line_no") == F.col("first.line_no"))).alias("is_first")).distinct(),
-        "lines",
-    )
+    hashed = every.select("pos", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(7), low).alias("h2"))
+    first = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("pos", "line_no")).alias("f")).select("f.pos", "f.line_no"), "lines")
     places = rarity(docs)
-    sets = lambda chosen: every.join(chosen, ["pos", "line_no"], "left_semi").select("pos", "line_no", _keys(F.col("line"), places).alias("keys"))
+
+    def sets(chosen: DataFrame) -> DataFrame:
+        """Keys of the chosen lines; texts meet their line numbers a document at a time."""
+        met = docs.join(chosen.groupBy("pos").agg(F.collect_set("line_no").alias("nos")), "pos")
+        split = met.select("pos", "nos", _lines(F.col("text")).alias("ls"))
+        return split.select("pos", F.explode("nos").alias("line_no"), "ls").select("pos", "line_no", _keys(F.get("ls", F.col("line_no")), places).alias("keys"))
+
     prefix = F.expr(f"slice(keys, 1, size(keys) - ({NUM} * size(keys) + {DEN - 1}) div {DEN} + 1)")
     described = lambda df: df.withColumns({"n": F.size("keys"), "sig": _parity(F.col("keys")), "prefix": prefix})
     # Outer, as for the inner kind the optimizer would compute every prefix a second time in a filter.
     post = F.posexplode_outer("prefix").alias("i", "tok")
-    postings = described(sets(flagged.where("is_first"))).select("pos", "line_no", "n", "sig", post)
+    postings = described(sets(first)).select("pos", "line_no", "n", "sig", post)
     postings = materialize(postings, "line-postings")  # read twice below, by one exchange
     a, b = postings.alias("a"), postings.alias("b")
     met = a.join(b, (F.expr("a.tok = b.tok AND (a.pos <> b.pos OR a.line_no <> b.line_no)")) & _possible("a", "b"), "left_semi")
@@ -114,7 +117,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sides = pairs.join(whole.select("pos", "line_no", "keys"), ["pos", "line_no"]).join(whole.select(F.col("pos").alias("pos2"), F.col("line_no").alias("line_no2"), F.col("keys").alias("keys2")), ["pos2", "line_no2"])
     common = F.size(F.array_intersect("keys", "keys2"))
     verified = sides.where(DEN * common >= NUM * (F.size("keys") + F.size("keys2") - common)).select("pos", "line_no").distinct()
-    return flagged.where("NOT is_first").select("pos", "line_no").unionByName(verified)
+    return first.join(verified, ["pos", "line_no"], "left_anti")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -125,19 +128,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     the result of one. Rows without an id share the last place in the order and are treated as
     repeats of one document, so give ids where that matters. Other columns are kept.
     """
-    gone = removed_lines(docs).groupBy("pos").agg(F.collect_set("line_no").alias("_gone"))
+    kept = kept_lines(docs).groupBy(F.col("pos").alias("_pos")).agg(F.collect_set("line_no").alias("_kept"))
     own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
     names = [c for c in docs.columns if c != "text"]
     return (
         docs.withColumn("_pos", own)
-        .join(gone.withColumnRenamed("pos", "_pos"), "_pos", "left")
+        .join(kept, "_pos", "left")
         .withColumn("_ls", _lines(F.col("text")))
-        .withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+        .withColumn("_blank", F.array_compact(F.transform("_ls", lambda x, i: F.when(~x.rlike(WORD), i))))
+        .withColumn("_at", F.sort_array(F.array_union("_blank", F.coalesce("_kept", F.array().cast("array<int>")))))
         .select(
             *names,
-            F.when(F.col("text").isNotNull(), F.array_join(F.filter("_ls", lambda x, i: ~F.array_contains("_gone", i)), "\n")).alias("text"),
+            F.when(F.col("text").isNotNull(), F.array_join(F.transform("_at", lambda i: F.get("_ls", i)), "\n")).alias("text"),
             F.when(F.col("text").isNull(), 0).otherwise(F.size("_ls")).cast("bigint").alias("n_lines"),
-            F.size("_gone").cast("bigint").alias("n_removed"),
+            (F.size("_ls") - F.size("_at")).cast("bigint").alias("n_removed"),
         )
     )
 
