@@ -173,6 +173,16 @@ def test_decontamination_catches_other_parameters_and_mixed_slots(spark):
     assert got == {1}
 
 
+def test_decontamination_checks_slots_by_place(spark):
+    item = "the farmer Bob has 3 red apples and then Bob buys 5 more red apples today"
+    variant = "the farmer Zoe has 10 red apples and then Zoe buys 95 more red apples today"
+    long = "we count 12 blue cups on the left shelf of the old kitchen and also 12 blue plates on the right shelf of the very same old kitchen"
+    docs = [(1, f"{item} or {variant}"), (2, long.replace("12", "13", 1)), (3, variant.replace("95", "10")), (4, item.replace("then", "just then")), (5, variant.replace("then Zoe", "then Ann"))]
+    bench = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got >= {(1, 1), (2, 2), (3, 1)} and (5, 1) not in got
+
+
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (20, [float("nan"), 1.0]), (1, None), (2, [None, 1.0]), (3, [1.0, 0.5]), (4, [1.0, 0.5]), (40, [2.0**40, 1.0]), (5, [1.0]), (None, [1.0, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", lambda i: i % 20 == 0, k=3).collect()
