@@ -6,9 +6,10 @@ classes of the next subword:
 
     p(x | context) = prior(x | previous) * exp(g[class x]) / sum over classes of prior(class | previous) * exp(g[class])
 
-Counts, vocabulary and prior come from every training token. The attention parameters come from one
-window of every training document: a first shard of windows starts them on the driver, then all
-shards continue from there in the cluster and are averaged, level by level. Texts are scored in
+Counts, vocabulary, prior and attention parameters come from every training token: each training
+text is cut into consecutive windows, so that every subword is a target once. About a shard of
+windows from all over starts the parameters on the driver, then all shards continue from there in
+the cluster, where their windows lie, and are averaged, level by level. Texts are scored in
 overlapping windows under a causal mask; every token counts once, in the first window that holds it.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table
 
-RAW_IDS, END = 50257, 50256
+RAW_IDS, END, PAD = 50257, 50256, 65535
 VOCAB, DIM, CLASSES = 4096, 16, 32
 WINDOW, STRIDE = 32, 28
 SHARD_WINDOWS, HEAD_WORDS, PART_WORDS = 4096, 8192, 4_000_000
@@ -250,11 +251,19 @@ def _grouped(key: np.ndarray, *cols: np.ndarray):
     return [(int(key[c]), *xs) for c, *xs in zip(cuts, *(np.split(x[order], cuts[1:]) for x in cols))] if len(key) else []
 
 
+def cut_windows(ids: np.ndarray) -> np.ndarray:
+    """Consecutive windows of WINDOW + 1 raw ids, PAD after the end: every id after the first is a target once."""
+    n = -(-(len(ids) - 1) // WINDOW)
+    flat = np.full(n * WINDOW + 1, PAD, "<u2")
+    flat[: len(ids)] = ids
+    return np.lib.stride_tricks.sliding_window_view(flat, WINDOW + 1)[::WINDOW].copy()
+
+
 _COUNTS = "kind string, part long, a binary, b binary"
 
 
 def count(docs: DataFrame, blob, parts: int) -> DataFrame:
-    """Counts of the training rows: kind w (word hash, n), b (bigram, n), t (one window of a document)."""
+    """Counts of the training rows: kind w (word hash, n), b (bigram, n), t (all windows of the documents)."""
 
     def run(batches):
         words = _words(blob.value)
@@ -275,7 +284,7 @@ def count(docs: DataFrame, blob, parts: int) -> DataFrame:
             k, inv = np.unique(key, return_inverse=True)
             c = np.bincount(inv, weights=np.concatenate([n[owner[at]], np.ones(len(key) - len(at))])).astype(np.int64)
             rows += [("b", p, a.tobytes(), b.tobytes()) for p, a, b in _grouped((k >> np.uint32(16)).astype(np.int64) % 64, k, c)]
-            rows.append(("t", int(h[0] >> np.uint64(1)), np.concatenate(wins).astype("<i4").tobytes(), b""))
+            rows.append(("t", int(h[0] >> np.uint64(1)), np.concatenate(wins).tobytes(), b""))
             if len(words.index) > CACHE_WORDS:
                 words.clear()
             return pd.DataFrame(rows, columns=["kind", "part", "a", "b"])
@@ -286,16 +295,9 @@ def count(docs: DataFrame, blob, parts: int) -> DataFrame:
                     seen.append(at)
                     first, last = words.flat[words.off[at]].astype(np.uint32), words.flat[words.off[at + 1] - 1].astype(np.uint32)
                     cross.append(np.append(np.uint32(END), last) << np.uint32(16) | np.append(first, np.uint32(END)))
-                    # The window's place comes from the id's hash, so windows fall anywhere in long texts.
-                    k = int(xxhash.xxh3_64_intdigest(str(d))) % max(1, len(at) - WINDOW // 4)
-                    ids = words.subwords(at[max(0, k - 1) : k + WINDOW + 1])
-                    # It starts with the end, or with the last subword before its first word.
-                    ids = ids[int(words.off[at[k - 1] + 1] - words.off[at[k - 1]]) if k else 0 : len(ids) - (k + WINDOW + 1 < len(at))]
-                    w = np.full(WINDOW + 1, -1, np.int64)
-                    w[: len(ids[: WINDOW + 1])] = ids[: WINDOW + 1]
-                    wins.append(w)
+                    wins.append(cut_windows(words.subwords(at)))
                     texts += 1
-                    size += 12 * len(at) + 300
+                    size += 12 * len(at) + 2 * wins[-1].size + 300
                 if size > FLUSH_BYTES or len(words.index) > CACHE_WORDS:
                     yield flush()
                     seen, cross, wins, texts, size = [], [], [], 0, 0
@@ -341,35 +343,41 @@ def fit(docs: DataFrame, blob, parts: int):
     ids = np.sort(ids[uni[ids] > 0])
     model = Model(ids, (prev, cur, n), RAW_IDS - len(ids))
 
-    # Windows of all documents, dealt to shards of bounded size.
-    total = counted.where("kind = 't'").agg(F.sum(F.length("a"))).first()[0] or 0
-    shards = max(1, -(-total // (4 * (WINDOW + 1) * SHARD_WINDOWS)))
+    # Windows of all documents; a task's are dealt to shards of bounded size and trained where they lie.
+    wins = counted.where("kind = 't'").select("part", "a")
+    total = (wins.agg(F.sum(F.length("a"))).first()[0] or 0) // (2 * (WINDOW + 1))
+    step = about = max(1, -(-total // SHARD_WINDOWS))
     vocab = model.map
 
-    def deal(batches):
+    def unpack(blob) -> np.ndarray:
+        w = np.frombuffer(bytes(blob), "<u2").reshape(-1, WINDOW + 1)
+        return np.where(w != PAD, vocab[np.where(w != PAD, w, 0)], -1).astype("<i4")
+
+    def every(batches):
         for pdf in batches:
             for k, a in zip(pdf["part"], pdf["a"]):
-                w = np.frombuffer(bytes(a), "<i4").reshape(-1, WINDOW + 1)
-                w = np.where(w >= 0, vocab[np.maximum(w, 0)], -1).astype("<i4")
-                for s, rows in _grouped((np.arange(len(w)) + k) % shards, w):
-                    yield pd.DataFrame({"shard": [s], "w": [rows.tobytes()]})
-
-    dealt = materialize(counted.where("kind = 't'").select("part", "a").mapInPandas(deal, "shard long, w binary"), "lm-windows")
-    unpack = lambda col: np.frombuffer(b"".join(map(bytes, col)), "<i4").reshape(-1, WINDOW + 1).astype(np.int64)
-    pilot = unpack(dealt.where("shard = 0").toPandas()["w"])  # about SHARD_WINDOWS windows
-    if len(pilot):
+                yield pd.DataFrame({"part": [k], "w": [unpack(a)[int(k) % step :: step].tobytes()]})
+
+    pilot = wins.mapInPandas(every, "part long, w binary").orderBy("part").toPandas()["w"]  # about SHARD_WINDOWS windows
+    pilot = np.frombuffer(b"".join(map(bytes, pilot)), "<i4").reshape(-1, WINDOW + 1).astype(np.int64)
+    if total:
         model.train(pilot, epochs=4, rate=0.01)
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def go_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        def go_on(batches):
             import copy
 
-            own = copy.deepcopy(shared.value)
-            w = unpack(pdf["w"])
-            own.train(w, epochs=1, rate=0.002, seed=int(pdf["shard"].iloc[0]))
-            return pd.DataFrame({"k": [int(pdf["shard"].iloc[0])], "n": [len(w)], "p": [own.pack()]})
-
-        model.unpack(_average(dealt.groupBy("shard").applyInPandas(go_on, "k long, n long, p binary")))
+            for pdf in batches:
+                for k, a in zip(pdf["part"], pdf["a"]):
+                    w = unpack(a)
+                    shards = -(-len(w) // SHARD_WINDOWS)
+                    for i in range(shards):
+                        own = copy.copy(shared.value)  # the tables are shared
+                        own.p = {name: x.copy() for name, x in own.p.items()}
+                        own.train(w[i::shards].astype(np.int64), epochs=1, rate=0.002, seed=(int(k) + i) % 2**32)
+                        yield pd.DataFrame({"k": [(int(k) + i) % about], "n": [len(w[i::shards])], "p": [own.pack()]})
+
+        model.unpack(_average(wins.mapInPandas(go_on, "k long, n long, p binary")))
     return model, words
 
 

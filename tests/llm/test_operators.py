@@ -98,6 +98,18 @@ def test_lm_scores_each_token_once_and_sums_to_one():
     assert m.score([seq])[0] * np.log(10) == pytest.approx(lp[0].sum() + lp[1][4:].sum() + lp[2][4:].sum() + tail.sum(), rel=1e-4)
 
 
+def test_lm_trains_on_every_subword_of_long_texts(spark):
+    docs = [(i, " ".join(f"w{(i * j) % 700}" for j in range(n))) for i, n in enumerate((0, 3, 5000))]
+    with open(lm_score.default_vocabulary(), "rb") as f:
+        raw = f.read()
+    words = lm_score.Words(raw)
+    want = [words.subwords(words.look_up([lm_score.split_words(t)])[0]) for _, t in docs]
+    rows = lm_score.count(spark.createDataFrame(docs, "doc_id long, text string"), spark.sparkContext.broadcast(raw), 8).where("kind = 't'").collect()
+    wins = np.concatenate([np.frombuffer(bytes(r.a), "<u2").reshape(-1, lm_score.WINDOW + 1) for r in rows])
+    pairs = [tuple(x) for w in wins for x in zip(w[:-1].tolist(), w[1:].tolist()) if x[1] != lm_score.PAD]
+    assert sorted(pairs) == sorted(x for ids in want for x in zip(ids[:-1].tolist(), ids[1:].tolist()))
+
+
 def test_sentencepiece_is_lossless_reproducible_and_fits_the_model(spark, odd):
     rows = sentencepiece_sampling.round_trip(odd).collect()
     assert all(r.lossless for r in rows) and len(rows) == odd.count()
