@@ -338,7 +338,7 @@ def topo_levels(s, d):
 def guid_extract_lines(s, d):
     k = F.concat(F.lit("Part/"), F.col("l_partkey").cast("string"))
     line = F.concat(F.lit("  m_Ref: {fileID: 1, guid: "), F.when(F.col("l_partkey") % 5 == 0, F.lit(T.NULL_GUID)).otherwise(F.upper(F.md5(k.cast("binary")))), F.lit(", type: 3}"))
-    text = table(s, d, "lineitem").where("l_linenumber <= 3").select(F.concat(F.lit("Order/"), F.col("l_orderkey").cast("string")).alias("source_path"), F.concat_ws("\r\n", F.lit("%YAML 1.1"), line, F.lit("plain")).alias("text"))
+    text = table(s, d, "lineitem").select(F.concat(F.lit("Order/"), F.col("l_orderkey").cast("string")).alias("source_path"), F.concat_ws("\r\n", F.lit("%YAML 1.1"), line, F.lit("plain")).alias("text"))
     return parse.guid_lines(text).select("source_path", "guid")
 
 

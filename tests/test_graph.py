@@ -97,3 +97,26 @@ def test_overloads_are_advisory(spark):
     members = spark.createDataFrame([("M:T.Go", "T", "Go", True), ("M:T.Go(int)", "T", "Go", True), ("M:T.Jump", "T", "Jump", True)], "doc_id string, type string, name string, semantic boolean")
     got = {(r.name, r.match_kind, r.confidence) for r in symbols.event_links(calls, members).collect()}
     assert got == {("Go", "overload", "advisory"), ("Jump", "declared", "proven"), ("Gone", "unmatched", "advisory")}
+
+
+def test_calls_and_references_of_all_orders_and_lines(spark, tmp_path):
+    parts = [(1, "B1", "bolt", 3), (2, "B1", "bolt", 4), (3, "B2", "bolt", 5), (5, "B2", "nut", 7)]
+    items = [(k, n, (k + n) % 4 + 1 if (k + n) % 4 < 3 else 5, 46.0 if n == 6 else 1.0) for k in (7, 10, 23) for n in range(1, 8)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    by = {p[0]: p for p in parts}
+    syms = [(f"M:{b}.{t}" + ("(int)" if size % 2 == 0 else ""), b, t, k) for k, b, t, size in parts]
+    calls = [(k, n, by[p][1], "Gone" if q > 45 else by[p][2]) for k, n, p, q in items]
+    assert {tuple(r)[:4] for r in catalog.QUERIES["event_cascade"](spark, str(tmp_path)).select("src", "line", "type", "name").collect()} == set(calls)
+    assert run("symbol_refs_to_files") == sorted({(c[0], s[3]) for c in calls for s in syms if s[1:3] == c[2:] and s[3] != c[0]})
+    spec = {(c[0], c[1]): min(s[0] for s in syms if s[2] == c[3] and s[1] != c[2]) for c in calls if c[1] > 2 and any(s[2] == c[3] and s[1] != c[2] for s in syms)}
+    want = [(c[0], c[1], None, "proven") for c in calls if c[1] <= 2] + [(*k, v, "speculative") for k, v in spec.items()]
+    assert sorted(map(str, run_unsorted(spark, "speculative_merge", tmp_path))) == sorted(map(str, want))
+    import hashlib
+
+    assert run("guid_extract_lines") == sorted((f"Order/{k}", hashlib.md5(f"Part/{p}".encode()).hexdigest()) for k, n, p, q in items if p % 5)
+
+
+def run_unsorted(spark, name, path):
+    return [tuple(r) for r in catalog.QUERIES[name](spark, str(path)).collect()]
