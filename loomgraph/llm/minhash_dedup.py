@@ -1,18 +1,19 @@
 """MinHash near-dedup: an inverted join over signature coordinates, then exact confirmation.
 
 Texts of one shingle set are one class. A class is posted under its rarest coordinate-value pairs:
-as two texts that match need ``MATCHES`` equal coordinates of ``COORDS``, they share one of the
-``COORDS - MATCHES + 1`` rarest of either. A semi-join on postings finds classes with any possible
+as two texts that match need ``matches`` equal coordinates of ``COORDS``, they share one of the
+``COORDS - matches + 1`` rarest of either. A semi-join on postings finds classes with any possible
 partner, without making pairs. Those go to tiles of bounded size, similar ones next to each other;
 each pair of tiles that share a coordinate value is one task, which counts collisions of whole
 signatures, skips pairs already joined, confirms the rest on full shingle sets and returns a
-spanning forest. Missing a link takes a pair of similarity 0.85 that falls under ``MATCHES``,
-5.6 standard deviations below its mean.
+spanning forest. Missing a link takes a pair at the threshold that falls under ``matches``, 5.6
+standard deviations below its mean, or over ``bits_off``, 5.5 above.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import LOWER_BYTES, materialize, table
 
-WORDS, COORDS, MATCHES = 5, 128, 86
-#: Similarity as a fraction.
-NUM, DEN = 85, 100
-#: Most differing bits of one-bit signatures: mean 9.6 and 5.5 standard deviations at 0.85.
-BITS_OFF = 26
+WORDS, COORDS = 5, 128
+#: Similarity of near duplicates as a fraction, where none is given: op9's.
+SIMILAR = (85, 100)
 TILE, BUCKETS = 512, 1 << 16
 _ODD = np.random.default_rng(1).integers(0, 2**32, (2, COORDS), np.uint32) | np.array([[1], [0]], np.uint32)
 _POW = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -59,18 +58,32 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+class Limits:
+    """Bounds that follow from a similarity num / den.
+
+    Equal coordinates are binomial in it; one-bit signatures differ in half of the unequal ones.
+    """
+
+    def __init__(self, similar: tuple[int, int] = SIMILAR):
+        self.num, self.den = similar
+        t = self.num / self.den
+        off = (1 - t) / 2
+        self.matches = max(1, int(COORDS * t - 5.6 * (COORDS * t * (1 - t)) ** 0.5))
+        self.bits_off = math.ceil(COORDS * off + 5.5 * (COORDS * off * (1 - off)) ** 0.5)
+
+
+def similar(a: np.ndarray, b: np.ndarray, limits: Limits) -> bool:
     if len(a) > len(b):
         a, b = b, a
-    if DEN * len(a) < NUM * len(b):
+    if limits.den * len(a) < limits.num * len(b):
         return False
     i = np.searchsorted(b, a)
     i[i == len(b)] = 0
     both = int((b[i] == a).sum())
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return limits.den * both >= limits.num * (len(a) + len(b) - both)
 
 
-def forest(ids, sigs: np.ndarray, sets: list, split: int):
+def forest(ids, sigs: np.ndarray, sets: list, split: int, limits: Limits):
     """Edges to the least id of each component among all pairs, or across ``split`` if it is over 0."""
     n = len(ids)
     parent = list(range(n))
@@ -85,10 +98,10 @@ def forest(ids, sigs: np.ndarray, sets: list, split: int):
         j = np.arange(max(i + 1, split), n)
         if not len(j):
             continue
-        near = j[(sigs[j] == sigs[i]).sum(axis=1) >= MATCHES]
+        near = j[(sigs[j] == sigs[i]).sum(axis=1) >= limits.matches]
         for k in near:
             a, b = root(i), root(int(k))
-            if a != b and similar(sets[i], sets[k]):
+            if a != b and similar(sets[i], sets[k], limits):
                 a, b = (a, b) if ids[a] < ids[b] else (b, a)
                 parent[b] = a
     return [(ids[i], ids[root(i)]) for i in range(n) if root(i) != i]
@@ -113,7 +126,7 @@ def _tokens(sigs: np.ndarray) -> np.ndarray:
     return _mix(sigs.astype(np.uint64) + (np.arange(COORDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _postings(reps: DataFrame) -> DataFrame:
+def _postings(reps: DataFrame, limits: Limits) -> DataFrame:
     """(tok, id, n, b0, b1): each class under its rarest coordinate values, with its one-bit signature."""
 
     def count(batches):
@@ -129,7 +142,7 @@ def _postings(reps: DataFrame) -> DataFrame:
     freq = np.zeros(BUCKETS, np.int64)
     freq[counted["b"]] = counted["c"]
     shared = reps.sparkSession.sparkContext.broadcast(freq)
-    length = COORDS - MATCHES + 1
+    length = COORDS - limits.matches + 1
 
     def post(batches):
         for pdf in batches:
@@ -160,13 +173,13 @@ def _tiles(suspects: DataFrame) -> DataFrame:
     return materialize(label.join(count, "label").select("id", F.xxhash64("label", part).alias("tile")), "minhash-tiles")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, limits: Limits) -> DataFrame:
     """(a, b) edges that connect exactly the classes that links connect; ids are doc_ids of class firsts."""
-    post = _postings(reps)
+    post = _postings(reps, limits)
     x, y = post.alias("x"), post.alias("y")
     possible = F.expr(
-        f"x.tok = y.tok AND x.id <> y.id AND {DEN} * x.n >= {NUM} * y.n AND {DEN} * y.n >= {NUM} * x.n "
-        f"AND bit_count(x.b0 ^ y.b0) + bit_count(x.b1 ^ y.b1) <= {BITS_OFF}"
+        f"x.tok = y.tok AND x.id <> y.id AND {limits.den} * x.n >= {limits.num} * y.n AND {limits.den} * y.n >= {limits.num} * x.n "
+        f"AND bit_count(x.b0 ^ y.b0) + bit_count(x.b1 ^ y.b1) <= {limits.bits_off}"
     )
     suspects = materialize(x.join(y, possible, "left_semi").select("x.tok", "x.id"), "minhash-suspects")
     tiles = _tiles(suspects)
@@ -185,7 +198,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "id"])
         sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, COORDS)
-        edges = forest(pdf["id"].tolist(), sigs, [np.frombuffer(s, np.uint64) for s in pdf["set"]], int((pdf["side"] == 0).sum()) if (pdf["side"] == 1).any() else 0)
+        edges = forest(pdf["id"].tolist(), sigs, [np.frombuffer(s, np.uint64) for s in pdf["set"]], int((pdf["side"] == 0).sum()) if (pdf["side"] == 1).any() else 0, limits)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return materialize(whole.join(both, "tile").groupBy("p").applyInPandas(kernel, "a long, b long").distinct(), "minhash-edges")
@@ -207,8 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def near_duplicates(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document, linked from Jaccard ``similar`` up.
 
     Null and empty texts have no shingles and are linked with nothing. A row without an id is a
     component of its own (component_id null) and kept. Rows that repeat a doc_id must repeat its
@@ -219,21 +232,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     member = materialize(sets.select("doc_id", "key").join(first, "key").select("doc_id", "first").distinct(), "minhash-classes")
     reps = sets.join(member.where("doc_id = first").select("doc_id"), "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    comp = components(links(docs, reps))
+    comp = components(links(docs, reps, Limits(similar)))
     of = member.join(comp, member["first"] == comp["id"], "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
     return found.select("doc_id", "n_shingles").join(of, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The rows, with all their columns, of the first document of each component."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, similar).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op9(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), (85, 100))
 
 
 SQL = r"""

@@ -30,3 +30,18 @@ def test_line_stage_is_the_operator(spark):
     docs = table(spark, SF, "documents")
     a = {(r.doc_id, r.text) for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
     assert a == {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()}
+
+
+def test_near_duplicate_stage_takes_pairs_from_0_8(spark):
+    same = [f"w{i}" for i in range(404)]  # 400 shingles; a word changed in the middle loses 5 of them
+    edit = lambda n: " ".join("x" if i in range(20, 20 + 20 * n, 20) else w for i, w in enumerate(same))
+    docs = spark.createDataFrame([(1, " ".join(same)), (2, edit(8)), (3, " ".join(f"v{i}" for i in range(404)))], "doc_id long, text string")
+    a, b = (set(minhash_dedup.shingles(x).tolist()) for x in (" ".join(same), edit(8)))
+    assert 0.81 < len(a & b) / len(a | b) < 0.83
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()} == {1, 3}
+    assert all(r.kept for r in minhash_dedup.near_duplicates(docs).collect())
+
+
+def test_bounds_of_op9_are_as_before():
+    limits = minhash_dedup.Limits((85, 100))
+    assert (limits.matches, limits.bits_off) == (86, 26)
