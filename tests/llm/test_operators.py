@@ -195,6 +195,15 @@ def test_decontamination_checks_slots_by_place(spark):
     assert got >= {(1, 1), (2, 2), (3, 1)} and (5, 1) not in got
 
 
+def test_decontamination_of_names_that_open_sentences_and_lines(spark):
+    item = "Tom has 3 apples. Tom buys 5 more. Tom eats 2. How many apples are left?"
+    plain = "one day the baker gave Mary Jones 4 loaves of the very best white bread"
+    docs = [(1, item.replace("Tom", "Anna").replace("3", "8")), (2, "so " + item.replace("How", "how")), (3, "Here: " + plain.replace(" Mary", "\nMary")), (4, item.replace("apples", "plums").replace("more", "extra")), (5, item.replace(". How", " how"))]
+    bench = spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.n_matched == r.n_windows) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (2, True), 5: (1, True)}
+
+
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (20, [float("nan"), 1.0]), (1, None), (2, [None, 1.0]), (3, [1.0, 0.5]), (4, [1.0, 0.5]), (40, [2.0**40, 1.0]), (5, [1.0]), (None, [1.0, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", lambda i: i % 20 == 0, k=3).collect()
