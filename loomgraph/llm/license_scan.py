@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,6 +45,12 @@ class Scanner:
         rows = sorted(((bigrams(normal_words(x.encode())), k) for k, x in (templates or TEMPLATES).items()), key=lambda r: (len(r[0]), r[1]))
         self.rows = [r for r in rows if r[0]]
         self.sizes = [len(r[0]) for r in self.rows]
+        of = {k: normal_words(x.encode()) for k, x in (templates or TEMPLATES).items()}
+        self.width = {k: len(of[k]) - 1 for _, k in self.rows}  # bigrams of a window
+        self.known: dict[tuple, list[str]] = {}
+        for b, k in self.rows:
+            for x in b:
+                self.known.setdefault(x, []).append(k)
         self.low = self.sizes[0] * threshold / (2 - threshold) if self.rows else float("inf")
 
     def best(self, raw: bytes):
@@ -61,10 +68,42 @@ class Scanner:
                 out = (dice, name)
         return out
 
+    def windows(self, ws: list[bytes]):
+        """(common, Dice, licence, first word, end) of windows of a template's length that reach the threshold.
+
+        Windows start at a bigram of the template (or end with the text): one that starts before
+        holds no more of them. Those with too few of its bigrams are never built.
+        """
+        known, places = self.known, {}
+        for i, x in enumerate(zip(ws, ws[1:])):
+            if x in known:
+                for k in known[x]:
+                    places.setdefault(k, []).append(i)
+        out = []
+        for ref, name in self.rows:
+            at, need = places.get(name, ()), len(ref) * self.t / (2 - self.t) - 1e-9
+            if len(at) < need:
+                continue
+            width = self.width[name]
+            starts = sorted({max(0, min(i, len(ws) - 1 - width)) for i in at})
+            for i in starts:
+                if bisect_left(at, i + width) - bisect_left(at, i) < need:
+                    continue
+                own = bigrams(ws[i : i + width + 1])
+                common = len(own & ref)
+                dice = 2.0 * common / (len(own) + len(ref))
+                if dice >= self.t:
+                    out.append((common, dice, name, i, min(len(ws), i + width + 1)))
+        return out
+
     def scan(self, text: str | None):
-        """Hits as (kind, index, licence, Dice): every line, paragraph of two lines or more, and the whole text if it has several paragraphs."""
+        """Hits as (kind, index, licence, Dice): every line, paragraph of two lines or more, the whole text if it has several paragraphs.
+
+        Then windows, by their first word, that touch none of these hits or of the windows taken
+        before: those with more of their template first, then the higher Dice.
+        """
         raw = (text or "").encode("utf-8", "replace")
-        hits = []
+        hits, taken = [], []
         paragraphs = re.split(rb"\n[ \t\r]*\n", raw)
         units = [("line", i, x) for i, x in enumerate(raw.split(b"\n"))]
         units += [("paragraph", i, x) for i, x in enumerate(paragraphs) if b"\n" in x]
@@ -73,13 +112,27 @@ class Scanner:
         for kind, i, x in units:
             if (b := self.best(x)) is not None:
                 hits.append((kind, i, b[1], b[0]))
+        found = self.windows(normal_words(raw))
+        if found and hits:
+            where = {"line": _ranges(raw.split(b"\n")), "paragraph": _ranges(paragraphs), "text": _ranges([raw])}
+            taken = [where[kind][i] for kind, i, _, _ in hits]
+        for common, dice, name, lo, hi in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+            if all(hi <= a or b <= lo for a, b in taken):
+                taken.append((lo, hi))
+                hits.append(("window", lo, name, dice))
         return hits
 
 
+def _ranges(parts: list[bytes]) -> list[tuple[int, int]]:
+    """Places of each part's words among all words."""
+    ends = list(accumulate(len(normal_words(x)) for x in parts))
+    return list(zip([0, *ends], ends))
+
+
 def scan(docs: DataFrame, templates=None, threshold=THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_hits, license and dice of its best hit (null: none), hits.
 
-    Whole texts, unit by unit; null and empty texts have no hits. Equal scores go to the smaller
+    Whole texts, unit by unit, then windows of each template's length slid over the text; null and empty texts have no hits. Equal scores go to the smaller
     licence name. Repeated rows give repeated results; other columns are ignored.
     """
     scanner = Scanner(templates, threshold)

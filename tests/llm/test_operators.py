@@ -227,3 +227,12 @@ def test_license_scan_units(spark):
     docs = [(1, "x\nReleased under the MIT licence\nReleased under the MIT License!"), (2, "Permission is hereby granted,\n" + license_scan.TEMPLATES["mit-grant"][31:]), (3, None)]
     got = {r.doc_id: (r.n_hits, r.license) for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1] == (1, "mit") and got[2][1] == "mit-grant" and got[3] == (0, None)
+
+
+def test_license_scan_inside_longer_units():
+    scanner, isc = license_scan.Scanner(), license_scan.TEMPLATES["isc"].replace(", ", ",\n")
+    mid = scanner.scan("All of it is new. Released under the MIT License; see the LICENSE file for more about it.")
+    assert [(h[0], h[2]) for h in mid] == [("window", "mit")] and mid[0][3] == 1.0
+    glued = scanner.scan("# tool\n" + isc + "\n" + "\n".join(f"x{i} = call(y{i}, z{i})" for i in range(60)))
+    assert [(h[0], h[2]) for h in glued] == [("window", "isc")]
+    assert [h[0] for h in scanner.scan("a b c d\nReleased under the MIT License.\ne f g h")] == ["line"] and scanner.scan("released under the moon") == []
