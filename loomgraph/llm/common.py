@@ -50,6 +50,12 @@ def words(col: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """The id, or for a row without one a key by its text from 2 ** 62 up, after all smaller ids."""
+    own = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(doc_id.cast("bigint"), own)
+
+
 def held_out(doc_id: Column, remainder: int, modulus: int = 5) -> Column:
     """crc32 of the id as text has this remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder

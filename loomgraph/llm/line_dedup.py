@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, table, words
+from loomgraph.llm.common import materialize, row_key, table, words
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16
-#: Documents without an id come after all others.
-LAST = 2**63 - 1
 #: A character of a word.
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -83,8 +81,8 @@ def _possible(a: str, b: str) -> Column:
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """(pos, line_no) of every line with words that stays; ``pos`` is the doc_id, or LAST where it is null."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("pos"), "text")
+    """(pos, line_no) of every line with words that stays; ``pos`` is the doc_id, or a key by the text where it is null."""
+    docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("pos"), "text")
     every = docs.select("pos", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).where(F.col("line").rlike(WORD))
     low = F.lower("line")
     hashed = every.select("pos", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(7), low).alias("h2"))
@@ -125,11 +123,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Null texts stay null and have no lines; an empty text is one empty line. A text left without
     lines becomes empty. Rows that repeat a doc_id must repeat its text: the copies then all get
-    the result of one. Rows without an id share the last place in the order and are treated as
-    repeats of one document, so give ids where that matters. Other columns are kept.
+    the result of one. Rows without an id come after all ids under 2 ** 62, in an order by their
+    texts' hashes; those of one text are repeats of one document. Other columns are kept.
     """
     kept = kept_lines(docs).groupBy(F.col("pos").alias("_pos")).agg(F.collect_set("line_no").alias("_kept"))
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    own = row_key(F.col("doc_id"), F.col("text"))
     names = [c for c in docs.columns if c != "text"]
     return (
         docs.withColumn("_pos", own)

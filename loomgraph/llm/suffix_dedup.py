@@ -21,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, table
+from loomgraph.llm.common import materialize, row_key, table
 
 SPAN, KMER = 50, 20
 WINDOW = SPAN - KMER + 1
-LAST = 2**63 - 1
 #: Bytes of text for one shard, bytes that a task gathers before it emits, windows of a batch.
 SHARD_BYTES, FLUSH_BYTES, BATCH = 1 << 20, 48 << 20, 1 << 16
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
@@ -173,7 +172,7 @@ def covered(doc: np.ndarray, at: np.ndarray, lo: np.ndarray, raw: list, batch: i
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi) of covered bytes, unmerged."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     total = docs.agg(F.sum(F.length("raw"))).first()[0] or 0
     shards = max(1, total // SHARD_BYTES)
 
@@ -271,12 +270,13 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes that stay, of every document.
 
     Null texts count as empty. Rows that repeat a doc_id must repeat its text: they never match
-    each other and get one result. Rows without an id come last and match earlier documents only.
+    each other and get one result. Rows without an id come after all ids under 2 ** 62, in an order by
+    their texts' hashes; those of one text are repeats of one document.
     What stays need not be valid UTF-8, so it is binary. Other columns are ignored.
     """
     found = spans(docs).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
     found = found.select("doc", "gone.lo", "gone.hi")
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    own = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
 
     def run(batches):
         for pdf in (whole.iloc[k : k + 1000] for whole in batches for k in range(0, len(whole), 1000)):

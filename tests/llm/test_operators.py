@@ -236,3 +236,15 @@ def test_license_scan_inside_longer_units():
     glued = scanner.scan("# tool\n" + isc + "\n" + "\n".join(f"x{i} = call(y{i}, z{i})" for i in range(60)))
     assert [(h[0], h[2]) for h in glued] == [("window", "isc")]
     assert [h[0] for h in scanner.scan("a b c d\nReleased under the MIT License.\ne f g h")] == ["line"] and scanner.scan("released under the moon") == []
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(90))
+    rows = [(1, a), (None, a + " tail"), (None, "x " * 20 + b + " " + a), (None, "short"), (None, "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup_spans(docs).where("doc_id IS NULL").collect())
+    cut_b = ("x " * 20 + b + " ").encode()
+    assert [len(k) for _, k in got[:3]] == [0, 5, 5] and got[3][1] == b" tail" and got[4][1].startswith(cut_b[:-1])
+    lines = spark.createDataFrame([(1, "p q r s\nsame old line here"), (None, "unique one\nsame old line here"), (None, "same old line here\nunique two words")], "doc_id long, text string")
+    kept = {r.text for r in line_dedup.dedup_lines(lines).where("doc_id IS NULL").collect()}
+    assert kept == {"unique one", "unique two words"}
