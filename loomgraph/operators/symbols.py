@@ -21,8 +21,11 @@ def part_calls(spark, d: str) -> DataFrame:
     return calls.select(F.col("l_orderkey").alias("src"), F.col("l_linenumber").alias("line"), F.col("p_brand").alias("type"), F.when(F.col("l_quantity") > 45, "Gone").otherwise(F.col("p_type")).alias("name"))
 
 
-def event_links(calls: DataFrame, members: DataFrame) -> DataFrame:
-    """Each distinct call with its declared member, every overload, or a row without one.
+def event_links(calls: DataFrame, members: DataFrame, inherit: DataFrame | None = None) -> DataFrame:
+    """Each distinct call with its declared member, every overload, the inherited ones, or a row without one.
+
+    With ``inherit`` (t, base), a call whose own type lacks the member takes those of the nearest
+    level of base types that has it, as 'inherited'.
 
     Proven only for a single member of a semantic assembly; everything else is advisory. Members
     are counted per (type, name) before the join, so no window gathers a call's matches.
@@ -30,10 +33,37 @@ def event_links(calls: DataFrame, members: DataFrame) -> DataFrame:
     counted = members.groupBy("type", "name").agg(F.count("*").alias("k"))
     found = calls.distinct().join(counted, ["type", "name"], "left").join(members.select("type", "name", "doc_id", "semantic"), ["type", "name"], "left")
     k = F.coalesce("k", F.lit(0))
-    return found.select(
+    links = found.select(
         "src", "line", "type", "name", "doc_id", F.when(k == 0, "unmatched").when(k == 1, "declared").otherwise("overload").alias("match_kind"),
         F.when((k == 1) & F.col("semantic"), "proven").otherwise("advisory").alias("confidence"),
     )
+    if inherit is None:
+        return links
+    wanted = links.where("match_kind = 'unmatched'").select("type", "name").distinct()
+    # A node is a type with the member looked for, so that all members walk together.
+    node = lambda t: F.struct(F.col(t).alias("type"), "name")
+    steps = _above(wanted, inherit)
+    depth = inherit_walk(wanted.select(node("type").alias("start")), steps.select(node("t").alias("t"), node("base").alias("base")), members.select(node("type").alias("t")).distinct())
+    near = _bases(depth, steps).join(members.select(F.col("type").alias("base"), "name", F.col("doc_id").alias("up")), ["base", "name"]).select("type", "name", "up").distinct()
+    more = links.join(near, ["type", "name"], "left")
+    up = F.col("match_kind").eqNullSafe("unmatched") & F.col("up").isNotNull()
+    return more.select("src", "line", "type", "name", F.when(up, F.col("up")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(up, "inherited").otherwise(F.col("match_kind")).alias("match_kind"), "confidence")
+
+
+def _above(wanted: DataFrame, inherit: DataFrame) -> DataFrame:
+    """(name, t, base): inheritance for every name looked for."""
+    return cut(inherit.select("t", "base").distinct().crossJoin(wanted.select("name").distinct()))
+
+
+def _bases(depth: DataFrame, steps: DataFrame) -> DataFrame:
+    """(type, name, base): base types at the depth found for each start."""
+    level = depth.select(F.col("start.type").alias("type"), F.col("start.name").alias("name"), "depth", F.col("start.type").alias("t"))
+    out, most = None, depth.agg(F.max("depth")).first()[0] or 0
+    for k in range(1, most + 1):
+        level = cut(level.join(steps, ["name", "t"]).select("type", "name", "depth", F.col("base").alias("t")).distinct())
+        hit = level.where(F.col("depth") == k).select("type", "name", F.col("t").alias("base"))
+        out = hit if out is None else out.unionByName(hit)
+    return out if out is not None else level.select("type", "name", F.col("t").alias("base")).limit(0)
 
 
 def inherit_walk(starts: DataFrame, inherit: DataFrame, having: DataFrame, most: int = 100) -> DataFrame:

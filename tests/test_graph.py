@@ -120,3 +120,11 @@ def test_calls_and_references_of_all_orders_and_lines(spark, tmp_path):
 
 def run_unsorted(spark, name, path):
     return [tuple(r) for r in catalog.QUERIES[name](spark, str(path)).collect()]
+
+
+def test_calls_of_inherited_members(spark):
+    calls = spark.createDataFrame([(1, 1, "Pawn", "Poke"), (1, 2, "Pawn", "Go"), (1, 3, "Pawn", "Gone"), (1, 4, "BasePawn", "Poke")], "src int, line int, type string, name string")
+    members = spark.createDataFrame([("M:Root.Poke", "Root", "Poke", True), ("M:BasePawn.Poke", "BasePawn", "Poke", True), ("M:Pawn.Go", "Pawn", "Go", True)], "doc_id string, type string, name string, semantic boolean")
+    inherit = spark.createDataFrame([("Pawn", "BasePawn"), ("BasePawn", "Root"), ("Root", "Pawn")], "t string, base string")
+    got = {(r.line, r.doc_id, r.match_kind, r.confidence) for r in symbols.event_links(calls, members, inherit).collect()}
+    assert got == {(1, "M:BasePawn.Poke", "inherited", "advisory"), (2, "M:Pawn.Go", "declared", "proven"), (3, None, "unmatched", "advisory"), (4, "M:BasePawn.Poke", "declared", "proven")}
