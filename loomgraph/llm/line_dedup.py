@@ -9,8 +9,9 @@ number) has a Jaccard similarity of ``THRESHOLD`` or more; lines without words s
 3. first lines are posted under their prefix, the words rare enough that two similar lines share
    one; a semi-join under the length, positional and bitmap filters finds lines with any possible
    partner, at most one row for each posting;
-4. only the lines and words that met go on to pairs, under a finer bitmap; whole sets then verify
-   Jaccard.
+4. the postings that met get finer bitmaps and the whole sets, and a second semi-join verifies
+   Jaccard against lines before. A line is decided by the first similar one that it meets, so that
+   a large group of similar lines makes one row for each posting and no pairs.
 """
 
 from __future__ import annotations
@@ -18,104 +19,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, row_key, table, words
+from loomgraph.llm.common import materialize, release, row_key, table
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 16
-#: A character of a word.
-WORD = "[^\\x20\\x09-\\x0D]"
+BUCKET_BITS, MAPS = 16, 4
+#: A character of a word; white space but the plain space.
+WORD, ODD_SPACE = "[^\\x20\\x09-\\x0D]", "[\\x09-\\x0D]"
+#: Words that two similar lines of a.n and b.n words share at least.
+NEED = f"(({NUM} * (a.n + b.n) + {NUM + DEN - 1}) div {NUM + DEN})"
+EARLIER = "(b.pos < a.pos OR (b.pos = a.pos AND b.line_no < a.line_no))"
+SIMILAR = f"size(array_intersect(a.keys, b.keys)) >= {NEED}"
+LINE = ["pos", "line_no"]
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _hash_words(line: Column) -> Column:
-    return F.transform(words(F.lower(line)), lambda w: F.xxhash64(w))
+def _split(text: Column) -> Column:
+    """Lower-cased words, and empty strings; parting at one plain character is Spark's fast case."""
+    low = F.lower(text)
+    return F.split(F.when(low.rlike(ODD_SPACE), F.regexp_replace(low, ODD_SPACE, " ")).otherwise(low), " ")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Place of each hash bucket by the words counted in it, rarest first, as an array constant."""
+    """By bucket of a word hash (its upper bits) what turns these bits into the bucket's place, rarest first."""
+    size = 1 << BUCKET_BITS
     counts = (
-        docs.select(F.explode(words(F.lower("text"))).alias("w"))
-        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
+        docs.select(F.explode(_split(F.coalesce("text", F.lit("")))).alias("w")).where("w <> ''")
+        .groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - BUCKET_BITS).cast("int").alias("b"))
         .count()
-        .collect()  # BUCKETS rows at most
+        .collect()  # one row a bucket at most
     )
     n = {r["b"]: r["count"] for r in counts}
-    place = [0] * BUCKETS
-    for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
-        place[b] = i
-    return F.split(F.lit(",".join(map(str, place))), ",").cast("array<bigint>")
+    turn = [0] * size
+    for i, b in enumerate(sorted(range(size), key=lambda b: (n.get(b, 0), b))):
+        x = ((i - size // 2) % size ^ b) << (64 - BUCKET_BITS)
+        turn[b] = x - (1 << 64) if x >> 63 else x
+    return F.split(F.lit(",".join(map(str, turn))), ",").cast("array<bigint>")
 
 
-def _keys(line: Column, places: Column) -> Column:
+def _keys(line: Column, turns: Column) -> Column:
     """Distinct words of a line as 64-bit keys, rarest first; key and word hash map one to one."""
-    key = lambda h: F.shiftleft(F.get(places, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) - BUCKETS // 2, 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-    return F.sort_array(F.array_distinct(F.transform(_hash_words(line), key)))
+    hashes = F.array_distinct(F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w)))
+    # Never null, which lets the sort run on plain numbers.
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.coalesce(F.get(turns, F.shiftrightunsigned(h, 64 - BUCKET_BITS)), F.lit(0)))))
 
 
 def _parity(keys: Column, part: int | None = None) -> Column:
     """64 bits, each the parity of the keys that fall to it; two sets' maps differ in no more bits than the sets.
 
-    With ``part``, one of four such maps for a quarter of the keys each, which tell more apart.
+    With ``part``, one of MAPS such maps for a share of the keys each, which tell more apart.
     """
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
     if part is not None:
-        keys = F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == part)
+        keys = F.filter(keys, lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(MAPS - 1)) == part)
     return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k)))
 
 
-def _possible(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters on postings ``a`` and ``b`` of one word.
+def _possible(*maps: str) -> str:
+    """Length, positional and bitmap filters on postings a and b of one word, as SQL."""
+    apart = " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in maps)
+    return f"a.tok = b.tok AND {DEN} * a.n >= {NUM} * b.n AND {DEN} * b.n >= {NUM} * a.n AND a.n - a.i >= {NEED} AND b.n - b.i >= {NEED} AND {apart} <= a.n + b.n - 2 * {NEED}"
 
-    Similar sets share ceil(t / (1 + t) * (size + size)) words or more.
-    """
-    need = f"(({NUM} * ({a}.n + {b}.n) + {NUM + DEN - 1}) div {NUM + DEN})"
-    return F.expr(
-        f"{DEN} * {a}.n >= {NUM} * {b}.n AND {DEN} * {b}.n >= {NUM} * {a}.n "
-        f"AND {a}.n - {a}.i >= {need} AND {b}.n - {b}.i >= {need} "
-        f"AND bit_count({a}.sig ^ {b}.sig) <= {a}.n + {b}.n - 2 * {need}"
-    )
+
+def _with(a: DataFrame, b: DataFrame, condition: str) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), F.expr(condition), "left_semi")
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(pos, line_no) of every line with words that stays; ``pos`` is the doc_id, or a key by the text where it is null."""
     docs = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("pos"), "text")
     every = docs.select("pos", F.posexplode(_lines(F.col("text"))).alias("line_no", "line")).where(F.col("line").rlike(WORD))
-    low = F.lower("line")
-    hashed = every.select("pos", "line_no", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(7), low).alias("h2"))
-    first = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct("pos", "line_no")).alias("f")).select("f.pos", "f.line_no"), "lines")
-    places = rarity(docs)
+    hashed = every.select("pos", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
+    first = materialize(hashed.groupBy("h1", "h2").agg(F.min(F.struct(*LINE)).alias("f")).select("f.pos", "f.line_no"), "lines")
+    turns = rarity(docs)
 
     def sets(chosen: DataFrame) -> DataFrame:
         """Keys of the chosen lines; texts meet their line numbers a document at a time."""
-        met = docs.join(chosen.groupBy("pos").agg(F.collect_set("line_no").alias("nos")), "pos")
-        split = met.select("pos", "nos", _lines(F.col("text")).alias("ls"))
-        return split.select("pos", F.explode("nos").alias("line_no"), "ls").select("pos", "line_no", _keys(F.get("ls", F.col("line_no")), places).alias("keys"))
+        met = docs.join(chosen.groupBy("pos").agg(F.collect_set("line_no").alias("nos")), "pos").dropDuplicates(["pos"]).select("pos", "nos", _lines(F.col("text")).alias("ls"))
+        # Only the chosen lines go along with the explosion, not each time the whole text.
+        each = met.select("pos", F.inline(F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get("ls", i).alias("line")))))
+        return each.select(*LINE, _keys(F.col("line"), turns).alias("keys"))
 
     prefix = F.expr(f"slice(keys, 1, size(keys) - ({NUM} * size(keys) + {DEN - 1}) div {DEN} + 1)")
-    described = lambda df: df.withColumns({"n": F.size("keys"), "sig": _parity(F.col("keys")), "prefix": prefix})
     # Outer, as for the inner kind the optimizer would compute every prefix a second time in a filter.
     post = F.posexplode_outer("prefix").alias("i", "tok")
-    postings = described(sets(first)).select("pos", "line_no", "n", "sig", post)
-    postings = materialize(postings, "line-postings")  # read twice below, by one exchange
-    a, b = postings.alias("a"), postings.alias("b")
-    met = a.join(b, (F.expr("a.tok = b.tok AND (a.pos <> b.pos OR a.line_no <> b.line_no)")) & _possible("a", "b"), "left_semi")
-    met = materialize(met.select("a.*"), "line-suspects")
-    maps = {f"s{k}": _parity(F.col("keys"), k) for k in range(4)}
-    whole = materialize(sets(met.select("pos", "line_no").distinct()).withColumns(maps), "line-sets")
-    fine = met.join(whole.drop("keys"), ["pos", "line_no"])
-    a, b = fine.alias("a"), fine.alias("b")
-    apart = " + ".join(f"bit_count(a.{m} ^ b.{m})" for m in maps)
-    near = F.expr(f"{apart} <= a.n + b.n - 2 * (({NUM} * (a.n + b.n) + {NUM + DEN - 1}) div {NUM + DEN})")
-    earlier = F.expr("a.tok = b.tok AND (b.pos < a.pos OR (b.pos = a.pos AND b.line_no < a.line_no))")
-    pairs = a.join(b, earlier & _possible("a", "b") & near).select("a.pos", "a.line_no", F.col("b.pos").alias("pos2"), F.col("b.line_no").alias("line_no2")).distinct()
-    sides = pairs.join(whole.select("pos", "line_no", "keys"), ["pos", "line_no"]).join(whole.select(F.col("pos").alias("pos2"), F.col("line_no").alias("line_no2"), F.col("keys").alias("keys2")), ["pos2", "line_no2"])
-    common = F.size(F.array_intersect("keys", "keys2"))
-    verified = sides.where(DEN * common >= NUM * (F.size("keys") + F.size("keys2") - common)).select("pos", "line_no").distinct()
-    return first.join(verified, ["pos", "line_no"], "left_anti")
+    postings = sets(first).select(*LINE, F.size("keys").alias("n"), _parity(F.col("keys")).alias("sig"), prefix.alias("prefix")).select(*LINE, "n", "sig", post)
+    postings = materialize(postings, "line-postings")  # else filters inferred for the join would compute the keys again
+    met = materialize(_with(postings, postings, f"{_possible('sig')} AND (a.pos <> b.pos OR a.line_no <> b.line_no)"), "line-suspects")
+    release(postings)
+    whole = sets(met.select(*LINE).distinct()).withColumns({f"s{k}": _parity(F.col("keys"), k) for k in range(MAPS)})
+    whole = materialize(whole, "line-sets")
+    fine = met.drop("sig").join(whole, LINE)
+    sure = materialize(_with(fine, fine, f"{_possible(*(f's{k}' for k in range(MAPS)))} AND {EARLIER} AND {SIMILAR}").select(*LINE).distinct(), "line-verified")
+    release(met, whole)
+    out = materialize(first.join(sure, LINE, "left_anti"), "line-kept")
+    release(first, sure)
+    return out
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
+    """(row, text, n_lines, n_removed): every row as a struct, its text without removed lines, counts."""
+    kept = kept_lines(docs).groupBy("pos").agg(F.collect_set("line_no").alias("kept"))
+    lines = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("pos")).join(kept, "pos", "left")
+    lines = lines.select("row", "kept", _lines(F.col("row.text")).alias("ls"))
+    blank = F.array_compact(F.transform("ls", lambda x, i: F.when(~x.rlike(WORD), i)))
+    at = F.sort_array(F.array_union(blank, F.coalesce("kept", F.array().cast("array<int>"))))
+    return lines.select("row", "ls", at.alias("at")).select(
+        "row",
+        F.when(F.col("row.text").isNotNull(), F.array_join(F.transform("at", lambda i: F.get("ls", i)), "\n")).alias("text"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size("ls")).cast("bigint").alias("n_lines"),
+        (F.size("ls") - F.size("at")).cast("bigint").alias("n_removed"),
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -124,24 +141,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null texts stay null and have no lines; an empty text is one empty line. A text left without
     lines becomes empty. Rows that repeat a doc_id must repeat its text: the copies then all get
     the result of one. Rows without an id come after all ids under 2 ** 62, in an order by their
-    texts' hashes; those of one text are repeats of one document. Other columns are kept.
+    texts' hashes; those of one text are repeats of one document. Other columns are kept, but
+    columns of the input named n_lines or n_removed give way to the counts.
     """
-    kept = kept_lines(docs).groupBy(F.col("pos").alias("_pos")).agg(F.collect_set("line_no").alias("_kept"))
-    own = row_key(F.col("doc_id"), F.col("text"))
-    names = [c for c in docs.columns if c != "text"]
-    return (
-        docs.withColumn("_pos", own)
-        .join(kept, "_pos", "left")
-        .withColumn("_ls", _lines(F.col("text")))
-        .withColumn("_blank", F.array_compact(F.transform("_ls", lambda x, i: F.when(~x.rlike(WORD), i))))
-        .withColumn("_at", F.sort_array(F.array_union("_blank", F.coalesce("_kept", F.array().cast("array<int>")))))
-        .select(
-            *names,
-            F.when(F.col("text").isNotNull(), F.array_join(F.transform("_at", lambda i: F.get("_ls", i)), "\n")).alias("text"),
-            F.when(F.col("text").isNull(), 0).otherwise(F.size("_ls")).cast("bigint").alias("n_lines"),
-            (F.size("_ls") - F.size("_at")).cast("bigint").alias("n_removed"),
-        )
-    )
+    names = [f"row.{c}" for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return _dedup(docs).select(*names, "text", "n_lines", "n_removed")
+
+
+def remove_lines(docs: DataFrame) -> DataFrame:
+    """The documents, with their columns as they are, but ``text`` rid of removed lines; as ``dedup_lines`` otherwise."""
+    return _dedup(docs).select(*[F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])
 
 
 def op2(spark, sf_dir):

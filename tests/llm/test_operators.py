@@ -172,6 +172,33 @@ def test_line_dedup_keeps_first_and_clashing_columns(spark):
     assert got == {1: ("alpha beta\n", 9), 2: ("new", 9), 3: (None, 9)}
 
 
+def test_line_dedup_of_a_large_group_against_brute_force(spark):
+    """Lines that are similar to some of a thousand others, through chains too, and case variants."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(20)]
+    lines = [" ".join(rng.choice(("x", "y", "z", w)) + str(rng.randrange(9)) if rng.random() < 0.12 else w for w in base) for _ in range(1200)]
+    lines += [" ".join(rng.sample(base, 18)).upper() for _ in range(30)] + [" ".join(f"v{rng.randrange(40)}" for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 10 : i * 10 + 10])) for i in range(153)]
+    seen, want = [], {}
+    for i, text in docs:
+        stay = []
+        for line in text.split("\n"):
+            ws = set(line.lower().split())
+            if not any(5 * len(ws & o) >= 4 * len(ws | o) for o in seen):
+                stay.append(line)
+            seen.append(ws)
+        want[i] = "\n".join(stay)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len(t) for _, t in docs)
+
+
+def test_line_dedup_of_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "alpha beta\nalpha beta", 7, 8, 9, "k"), (1, "alpha beta\nalpha beta", 7, 8, 9, "k")], "doc_id long, text string, n_lines int, n_removed int, pos int, kept string")
+    assert {tuple(r) for r in line_dedup.remove_lines(docs).collect()} == {(1, "alpha beta", 7, 8, 9, "k")}
+    assert [(r.n_lines, r.n_removed, r.pos, r.kept) for r in line_dedup.dedup_lines(docs).collect()] == [(2, 1, 9, "k")] * 2
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = {(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(odd).collect()}
     assert (4, True, 4, True) in got and (5, True, 4, False) in got and (1, False, 1, True) in got and (2, False, 2, True) in got
