@@ -4,11 +4,12 @@ Suffixes are indexed at content-defined anchors: of the 20-byte strings in each
 one of least hash, so equal windows have equal anchors wherever they lie. An anchor's context holds
 every window that it stands for. Anchors are dealt to shards by their hash:
 
-1. contexts that recur whole are covered but for the smallest doc_id's (within a task before
-   anything moves, then within a shard);
+1. contexts that recur whole, by 64 bits of the anchor's and 64 of the context's hash, are covered
+   but for the smallest doc_id's (within a task before anything moves, then within a shard);
 2. for anchors that occur in several contexts, the first of each is fetched as bytes. A shard takes
    them in batches by doc_id; each batch gets a suffix array of its windows, is merge-scanned
-   against the levels of the index, and becomes a level itself; levels of one size merge;
+   against the levels of the index, and becomes a level itself; levels of one size merge. Windows of
+   an anchor with more than ``HOT`` contexts don't meet in one shard but one by one, by their bytes;
 3. covered spans are merged per document and cut out.
 """
 
@@ -21,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import materialize, row_key, table
+from loomgraph.llm.common import map_columns, materialize, row_key, table
 
 SPAN, KMER = 50, 20
 WINDOW = SPAN - KMER + 1
-#: Bytes of text for one shard, bytes that a task gathers before it emits, windows of a batch.
-SHARD_BYTES, FLUSH_BYTES, BATCH = 1 << 20, 48 << 20, 1 << 16
+#: Bytes of text for one shard, bytes that a task gathers before it emits, bytes looked at together, windows of a batch.
+SHARD_BYTES, FLUSH_BYTES, PIECE, BATCH = 1 << 20, 12 << 20, 1 << 20, 1 << 16
+#: Contexts of one anchor that one shard takes.
+HOT = 1 << 14
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -77,12 +80,27 @@ def contexts(raw: bytes, at: np.ndarray):
         return lo, hi, _mix(own + (at - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (hi - at).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
 
 
+def postings(raw: bytes, piece: int = PIECE):
+    """(at, hash of the anchor, lo, hi, hash of the context) of all anchors, a piece of the text at a time."""
+    out = []
+    for a in range(0, max(1, len(raw) - SPAN + 1), piece):
+        # Anchors depend on no more than the bytes of two windows around them.
+        start = max(0, a - 2 * SPAN)
+        part = raw[start : a + piece + 2 * SPAN]
+        at, h = anchors(part)
+        own = (at + start >= a) & (at + start < a + piece)
+        at, h = at[own], h[own]
+        lo, hi, ctx = contexts(part, at)
+        out.append((at + start, h, lo + start, hi + start, ctx))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 _ROW = np.dtype([("kmer", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 
 
 def pack(rows: np.ndarray) -> bytes:
     """Rows by column, in document order, each column as differences: half the size of rows once compressed."""
-    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
+    rows = rows[np.lexsort((rows["at"], rows["doc"]))]  # a shard's part of a task's rows
     back, ahead = (rows["at"] - rows["lo"]).astype(np.uint8), (rows["hi"] - rows["at"]).astype(np.uint8)
     doc, at = np.diff(rows["doc"], prepend=0), np.diff(rows["at"], prepend=0).astype("<i4")
     planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(rows), -1).T.tobytes() for x in (doc.astype("<i8"), at)]
@@ -116,7 +134,7 @@ class Family:
         self.levels: list[np.ndarray] = []
 
     def scan(self, sorted_keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted keys some level holds."""
+        """Which of the sorted keys some level holds; both sides are sorted, so it goes through either once."""
         found = np.zeros(len(sorted_keys), bool)
         for level in self.levels:
             i = np.minimum(np.searchsorted(level, sorted_keys), len(level) - 1)
@@ -127,7 +145,7 @@ class Family:
         level = sorted_keys
         while self.levels and len(self.levels[-1]) < 2 * len(level):
             both = np.concatenate([self.levels.pop(), level])
-            both.sort(kind="stable")
+            both.sort(kind="stable")  # merges: that sort finds the two runs
             level = both[np.r_[True, both[1:] != both[:-1]]]
         self.levels.append(level)
 
@@ -180,32 +198,32 @@ def spans(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            rows, own, _ = _firsts(np.concatenate(held))
-            gone = rows[~own]
+            rows = np.concatenate(held)
+            held.clear()
+            rows, own, _ = _firsts(rows)
+            gone = rows[["doc", "lo", "hi"]][~own].astype(_SPAN_ROW)
             rows = rows[own]
             shard = (rows["kmer"] % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            rows, shard = rows[order], shard[order]
-            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            pieces = np.split(rows, cut[1:]) if len(rows) else []
+            shard = shard[order]
+            cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else shard
+            pieces = [pack(rows[p]) for p in np.split(order, cut[1:])] if len(rows) else []
             # Spans known already ride along, a share with each piece.
-            share = np.array_split(gone[["doc", "lo", "hi"]], max(1, len(pieces)))
-            return pd.DataFrame({"shard": shard[cut] if len(rows) else [], "rows": [pack(p) for p in pieces], "gone": [np.ascontiguousarray(g).astype(_SPAN_ROW).tobytes() for g in share][: len(pieces)]})
+            share = np.array_split(gone, max(1, len(pieces)))
+            return pd.DataFrame({"shard": shard[cut], "rows": pieces, "gone": [g.tobytes() for g in share][: len(pieces)]})
 
         for pdf in batches:
             for d, raw in zip(pdf["doc"], pdf["raw"]):
-                raw = bytes(raw)
-                at, h = anchors(raw)
+                at, h, lo, hi, ctx = postings(bytes(raw))
                 if not len(at):
                     continue
-                lo, hi, ctx = contexts(raw, at)
                 r = np.empty(len(at), _ROW)
                 r["kmer"], r["ctx"], r["doc"], r["at"], r["lo"], r["hi"] = h, ctx, d, at, lo, hi
                 held.append(r)
                 size += len(raw)
                 if size >= FLUSH_BYTES:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
 
@@ -224,8 +242,11 @@ def spans(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(dict(zip(("doc", "lo", "hi", "at", "kmer"), cols)))
 
     settled = materialize(docs.mapInPandas(post, "shard long, rows binary, gone binary").groupBy("shard").applyInPandas(settle, "doc long, lo int, hi int, at int, kmer long"), "suffix-settled")
+    ask = settled.where("at >= 0")
+    often = materialize(ask.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("kmer"), "suffix-often")
+    some = not often.isEmpty()
     # Arrays of plain numbers reach Python as numpy arrays; arrays of structs would be objects each.
-    asked = settled.where("at >= 0").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi", "kmer"))).alias("ask"))
+    asked = (ask.join(often, "kmer", "left_anti") if some else ask).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi", "kmer"))).alias("ask"))
     asked = asked.select("doc", "ask.at", "ask.lo", "ask.hi", "ask.kmer")
 
     def fetch(batches):
@@ -248,9 +269,16 @@ def spans(docs: DataFrame) -> DataFrame:
         head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)])
         return pd.DataFrame({"doc": doc[head], "lo": start[head], "hi": start[np.r_[head[1:] - 1, len(start) - 1]] + SPAN})
 
-    fetched = docs.dropDuplicates(["doc"]).join(asked, "doc").mapInPandas(fetch, "shard long, doc long, at int, lo int, kmer long, raw binary")
+    once = docs.dropDuplicates(["doc"])
+    fetched = once.join(asked, "doc").mapInPandas(fetch, "shard long, doc long, at int, lo int, kmer long, raw binary")
     matched = fetched.groupBy("shard").applyInPandas(match, "doc long, lo int, hi int")
-    return settled.where(f"at < 0 AND hi - lo >= {SPAN}").select("doc", "lo", "hi").unionByName(matched)
+    found = settled.where(f"at < 0 AND hi - lo >= {SPAN}").select("doc", "lo", "hi").unionByName(matched)
+    if some:
+        far = ask.join(often, "kmer").select("doc", F.explode(F.sequence("lo", F.least("at", F.col("hi") - SPAN))).alias("lo")).distinct()
+        far = materialize(once.join(far, "doc").select("doc", "lo", F.expr(f"substring(raw, lo + 1, {SPAN})").alias("window")), "suffix-far")
+        least = far.groupBy("window").agg(F.min("doc").alias("least"))
+        found = found.unionByName(far.join(least, "window").where("doc > least").select("doc", "lo", (F.col("lo") + SPAN).alias("hi")))
+    return found
 
 
 _SPAN_ROW = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
@@ -278,16 +306,14 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     found = found.select("doc", "gone.lo", "gone.hi")
     own = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
 
-    def run(batches):
-        for pdf in (whole.iloc[k : k + 1000] for whole in batches for k in range(0, len(whole), 1000)):
-            out = []
-            for raw, lo, hi in zip(pdf["raw"], pdf["lo"], pdf["hi"]):
-                raw = bytes(raw)
-                out.append((0, 0, raw) if lo is None or not len(lo) else cut(raw, lo, hi))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": [len(r) for r in pdf["raw"]], "n_removed": [o[0] for o in out], "n_spans": [o[1] for o in out], "kept": [o[2] for o in out]})
+    def run(raws, los, his):
+        out = []
+        for raw, lo, hi in zip(raws, los, his):
+            raw = raw.as_py()
+            out.append((len(raw), *(cut(raw, lo.values.to_numpy(), hi.values.to_numpy()) if lo.is_valid and len(lo.values) else (0, 0, raw))))
+        return zip(*out)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.join(found, "doc", "left").select("doc_id", "raw", "lo", "hi").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_columns(own.join(found, "doc", "left"), ["doc_id"], ["raw", "lo", "hi"], run, "n_bytes long, n_removed long, n_spans long, kept binary", 500)
 
 
 def op4(spark, sf_dir):

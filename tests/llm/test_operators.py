@@ -275,3 +275,29 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     lines = spark.createDataFrame([(1, "p q r s\nsame old line here"), (None, "unique one\nsame old line here"), (None, "same old line here\nunique two words")], "doc_id long, text string")
     kept = {r.text for r in line_dedup.dedup_lines(lines).where("doc_id IS NULL").collect()}
     assert kept == {"unique one", "unique two words"}
+
+
+def test_suffix_postings_of_pieces_are_those_of_the_whole():
+    rng = random.Random(3)
+    raw = bytes(rng.choice(b"abc") for _ in range(5000)) + b"x" * 900
+    whole, parts = suffix_dedup.postings(raw), suffix_dedup.postings(raw, 333)
+    at, h = suffix_dedup.anchors(raw)
+    assert np.array_equal(whole[0], at) and np.array_equal(whole[1], h)
+    lo, hi, ctx = suffix_dedup.contexts(raw, at)
+    assert np.array_equal(whole[2], lo) and np.array_equal(whole[3], hi)
+    order = np.argsort(parts[0], kind="stable")
+    assert all(np.array_equal(a, b[order]) for a, b in zip(whole, parts))
+    assert all(len(x) == 0 for x in suffix_dedup.postings(b"short"))
+
+
+@pytest.mark.parametrize("hot", [8, 1 << 14])
+def test_suffix_dedup_of_one_passage_in_many_contexts(spark, monkeypatch, hot):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(12))
+    docs = [(2**60 + i, " ".join(word() for _ in range(30)) + passage[: rng.randrange(40, 72)] + " ".join(word() for _ in range(9))) for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    want = suffix_dedup.brute_force([(d, t.encode()) for d, t in docs])
+    rows = suffix_dedup.dedup_spans(spark.createDataFrame([*docs, (None, "no id")], "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows if r.doc_id}
+    assert got == want and len(rows) == 301
