@@ -6,9 +6,10 @@ import re
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.common import map_columns
+
 #: Notices and grants of public licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -132,23 +133,20 @@ def _ranges(parts: list[bytes]) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, templates=None, threshold=THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_hits, license and dice of its best hit (null: none), hits.
 
-    Whole texts, unit by unit, then windows of each template's length slid over the text; null and empty texts have no hits. Equal scores go to the smaller
+    Whole texts, unit by unit, then windows of each template's length slid over the text; null and empty texts have no hits, very long texts go as a whole like all others. Equal scores go to the smaller
     licence name. Repeated rows give repeated results; other columns are ignored.
     """
     scanner = Scanner(templates, threshold)
 
-    def run(batches):
-        for pdf in batches:
-            found = [scanner.scan(x) for x in pdf["text"]]
-            best = [min(((-h[3], h[2]) for h in hs), default=(None, None)) for hs in found]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_hits": [len(h) for h in found], "license": [b[1] for b in best],
-                "dice": [None if b[0] is None else -b[0] for b in best],
-                "hits": [[{"unit": k, "at": i, "license": n, "dice": d} for k, i, n, d in h] for h in found],
-            })
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_hits int, license string, dice double, hits array<struct<unit:string,at:int,license:string,dice:double>>")
+    def run(texts):
+        found = [scanner.scan(x) for x in texts.to_pylist()]
+        best = [min(((-h[3], h[2]) for h in hs), default=(None, None)) for hs in found]
+        return (
+            [len(h) for h in found], [b[1] for b in best], [None if b[0] is None else -b[0] for b in best],
+            [[{"unit": k, "at": i, "license": n, "dice": d} for k, i, n, d in h] for h in found],
+        )
+
+    return map_columns(docs, ["doc_id"], ["text"], run, "n_hits int, license string, dice double, hits array<struct<unit:string,at:int,license:string,dice:double>>")
 
 
 def op7(spark, sf_dir):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER_BYTES, materialize, table
+from loomgraph.llm.common import LOWER_BYTES, map_columns, materialize, table
 
 WORDS, COORDS = 5, 128
 #: Similarity of near duplicates as a fraction, where none is given: op9's.
@@ -110,15 +110,14 @@ def forest(ids, sigs: np.ndarray, sets: list, split: int, limits: Limits):
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key of the set, signature; key and signature are null for empty sets."""
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x in pdf["text"]:
-                s = shingles(x)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()) if len(s) else (0, None, None))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [o[0] for o in out], "key": [o[1] for o in out], "sig": [o[2] for o in out]})
+    def run(texts):
+        out = []
+        for x in texts.to_pylist():
+            s = shingles(x)
+            out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()) if len(s) else (0, None, None))
+        return zip(*out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return map_columns(docs, ["doc_id"], ["text"], run, "n_shingles long, key binary, sig binary")
 
 
 def _tokens(sigs: np.ndarray) -> np.ndarray:

@@ -2,31 +2,33 @@
 
 Voters are words of a fixed lexicon, words and character 4-grams mined from labelled rows, and the
 annotators' labels themselves. The label model gives each voter a rate of firing in toxic and in
-clean texts and a weight for its correlations with other voters; its rates are re-estimated over
-the vote patterns of all documents. A logistic classifier over voters and 4-grams is then trained
-on the model's posterior labels.
+clean texts and a weight for its correlations with other voters. Rates are re-estimated over the vote
+patterns of all documents, correlations and the annotators' own rates over the labelled sample. A
+logistic classifier over voters and 4-grams is then trained on the model's posterior labels, of
+labelled rows and of rows that no one has labelled. Only counts, votes and feature bits of the
+samples reach the driver, never texts.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table
+from loomgraph.llm.common import LOWER_BYTES, held_out, map_columns, materialize, release, table
 
 #: Abusive words of the four languages of the corpus.
 LEXICON = (
     "arschloch basura bastard clown connard crétin depp disgusting dumm estúpido idiot idiota imbécile imbécil "
     "loser moron müll pathetic patético pathétique salaud scum stupid stupide trash trottel worthless"
 ).split()
-#: Labelled rows that learning may use: a documented bound on a sample drawn by hash.
-FIT_ROWS = 12_000
+#: Labelled rows that learning may use, and rows without a label that the classifier is fitted on besides: documented bounds on samples drawn by hash.
+FIT_ROWS, MORE_ROWS = 12_000, 6_000
 MINED_WORDS, MINED_GRAMS, GRAM_FEATURES, BUCKETS = 24, 24, 2048, 1 << 16
-EM_ROUNDS, ANNOTATOR = 4, (0.97, 0.01)
+#: Where the annotators' rates start, and the pseudo-rows that hold a rate near its start.
+EM_ROUNDS, ANNOTATOR, STRENGTH = 4, (0.97, 0.01), 50.0
 _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
@@ -56,27 +58,36 @@ def _log_odds(fires: np.ndarray, y: np.ndarray):
 class LabelModel:
     """Bernoulli voters given the hidden label; a voter that moves with others counts for less."""
 
-    def __init__(self, prior: float, toxic: np.ndarray, clean: np.ndarray, weight: np.ndarray):
-        self.prior, self.toxic, self.clean, self.weight = prior, toxic, clean, weight
+    def __init__(self, prior: float, toxic: np.ndarray, clean: np.ndarray, weight: np.ndarray, annotator=ANNOTATOR):
+        self.prior, self.toxic, self.clean, self.weight, self.annotator = prior, toxic, clean, weight, annotator
 
     @classmethod
     def start(cls, votes: np.ndarray, y: np.ndarray) -> LabelModel:
         a, b = _log_odds(votes, y)
+        return cls(min(max(y.mean(), 0.01), 0.5), a, b, cls.weights(votes, y.astype(float)))
+
+    @staticmethod
+    def weights(votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Weights by the votes' correlation within each label, rows counting for a label by its posterior."""
         weight = np.ones(votes.shape[1])
-        # Correlation within each label: what the label itself doesn't explain.
-        for side in (y, ~y):
-            v = votes[side] - votes[side].mean(axis=0) if side.any() else votes[:0]
+        for share in (p, 1 - p):
+            v = (votes - share @ votes / max(share.sum(), 1e-9)) * np.sqrt(share)[:, None]
             sd = np.sqrt((v**2).sum(axis=0)) + 1e-9
             c = np.abs(v.T @ v) / np.outer(sd, sd)
             np.fill_diagonal(c, 0)
             weight = np.minimum(weight, 1 / (1 + np.where(c > 0.2, c, 0).sum(axis=0)))
-        return cls(min(max(y.mean(), 0.01), 0.5), a, b, weight)
+        return weight
+
+    def annotators(self, votes: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """Rates of a toxic label in toxic and in clean rows, by the posteriors under the rates so far."""
+        p = self.posterior(votes, y)
+        return tuple(float((share @ y + STRENGTH * r) / (share.sum() + STRENGTH)) for share, r in zip((p, 1 - p), ANNOTATOR))
 
     def posterior(self, votes: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-        """P(toxic); ``label`` (1, 0 or nan) is one more voter with the annotators' rates."""
+        """P(toxic); ``label`` (1, 0 or nan) is one more voter, with the annotators' rates."""
         z = np.log(self.prior / (1 - self.prior)) + (votes * (np.log(self.toxic / self.clean) - np.log((1 - self.toxic) / (1 - self.clean))) + np.log((1 - self.toxic) / (1 - self.clean))) @ self.weight
         if label is not None:
-            hit, false = ANNOTATOR
+            hit, false = np.clip(self.annotator, 1e-4, 1 - 1e-4)
             z = z + np.where(label == 1, np.log(hit / false), np.where(label == 0, np.log((1 - hit) / (1 - false)), 0))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
@@ -105,13 +116,13 @@ def _logistic(x: np.ndarray, target: np.ndarray, l2: float = 3.0, rounds: int =
     return w, b
 
 
-def _threshold(x: np.ndarray, target: np.ndarray) -> np.float32:
-    """Log odds that best part toxic from clean rows, each half judged by a fit on the other half."""
+def _threshold(x: np.ndarray, target: np.ndarray, more: np.ndarray, guess: np.ndarray) -> np.float32:
+    """Log odds that best part toxic from clean rows, each half judged by a fit on the other half and on ``more`` rows."""
     z, half = np.empty(len(x)), np.arange(len(x)) % 2 == 0
     for side in (half, ~half):
         if not 0 < (target[side] > 0.5).sum() < side.sum():
             return np.float32(0)
-        w, b = _logistic(x[side], target[side])
+        w, b = _logistic(np.concatenate([x[side], more]), np.concatenate([target[side], guess]))
         z[~side] = _times(x[~side], w) + b
     order = np.argsort(z)
     t = target[order]
@@ -141,29 +152,14 @@ class Model:
         seen[grams] = True
         return np.concatenate([np.array([w in words for w in self.words], bool), seen[self.vote_grams]]).astype(np.float32)
 
-    def mine(self, rows: list[tuple[bytes, np.ndarray]], y: np.ndarray) -> None:
-        """Words (joined by spaces) and 4-grams that fire in toxic rows alone, near enough, join the voters."""
-        n, toxic = {}, int(y.sum())
-        for (ws, _), t in zip(rows, y):
-            if t:
-                for w in ws.split():
-                    n[w] = n.get(w, 0) + 1
-        least = max(3, toxic // 100)
-        often = {w for w, c in n.items() if c >= least} - set(self.words)
-        clean = dict.fromkeys(often, 0)
-        counts = np.zeros((2, BUCKETS))
-        for (ws, g), t in zip(rows, y):
-            counts[int(t), g] += 1
-            if not t:
-                for w in often.intersection(ws.split()):
-                    clean[w] += 1
-        sure = lambda hit, miss: (hit + 0.5) / (hit + miss * max(1, toxic) / max(1, len(y) - toxic) + 1)
-        mined = sorted(((-n[w] * sure(n[w], clean[w]), w) for w in often if sure(n[w], clean[w]) > 0.9))
-        self.words += [w for _, w in mined[:MINED_WORDS]]
-        rate = sure(counts[1], counts[0])
-        order = np.argsort(-(counts[1] * rate) * ((rate > 0.9) & (counts[1] >= least)), kind="stable")[:MINED_GRAMS]
-        self.vote_grams = order[(rate[order] > 0.9) & (counts[1][order] >= least)]
-        p, q = (counts[1] + 0.5) / (toxic + 1), (counts[0] + 0.5) / (len(y) - toxic + 1)
+    def mine(self, words: list[bytes], counts: np.ndarray, toxic: int, clean: int) -> None:
+        """Mined words join the voters; so do 4-grams (``counts`` of clean and toxic rows by bucket) that fire in toxic rows alone, near enough."""
+        self.words += [w for w in words if w not in self.words][:MINED_WORDS]
+        rate = _sure(counts[1], counts[0], toxic, clean)
+        often = (rate > 0.9) & (counts[1] >= _least(toxic))
+        order = np.argsort(-(counts[1] * rate) * often, kind="stable")[:MINED_GRAMS]
+        self.vote_grams = order[often[order]]
+        p, q = (counts[1] + 0.5) / (toxic + 1), (counts[0] + 0.5) / (clean + 1)
         gain = np.abs(np.log(p / q)) * np.sqrt(np.maximum(p, q) * (1 - np.minimum(p, q)))
         self.grams = np.sort(np.argsort(-gain, kind="stable")[:GRAM_FEATURES])
 
@@ -180,47 +176,105 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon=LEXICON) -> Model:
+def _least(toxic: int) -> int:
+    """Toxic rows that a mined voter must fire in."""
+    return max(3, toxic // 100)
+
+
+def _sure(hit, miss, toxic: int, clean: int):
+    """Share of a voter's firings that are in toxic rows, if both kinds were as many."""
+    return (hit + 0.5) / (hit + miss * (max(1, toxic) / max(1, clean)) + 1)
+
+
+def _sample(docs: DataFrame, chosen: DataFrame, label: str) -> DataFrame:
+    """Texts of the chosen ids (doc_id, toxic), one for each; of several texts of one id the least."""
+    # At most the sample's bound of ids: a proven bound for the broadcast.
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return materialize(met.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), label)
+
+
+def _mine(model: Model, rows: DataFrame, toxic: int, clean: int) -> None:
+    """Counts words and 4-grams of the sample in the cluster; candidates that are sure enough come back."""
+
+    def words(batches):
+        for pdf in batches:
+            found = [(w, int(t)) for x, t in zip(pdf["text"], pdf["toxic"]) for w in text_words(x)]
+            yield pd.DataFrame(found, columns=["w", "t"])
+
+    def grams(batches):
+        total = np.zeros((2, BUCKETS), np.int64)
+        for pdf in batches:
+            for x, t in zip(pdf["text"], pdf["toxic"]):
+                total[int(t == 1), text_grams(x)] += 1
+        b = np.flatnonzero(total.any(axis=0))
+        yield pd.DataFrame({"b": b, "clean": total[0, b], "toxic": total[1, b]})
+
+    n = rows.select("text", "toxic").mapInPandas(words, "w binary, t int").groupBy("w").agg(F.sum("t").alias("hit"), F.count("*").alias("n")).where(F.col("hit") >= _least(toxic))
+    sure = n.withColumn("sure", _sure(F.col("hit"), F.col("n") - F.col("hit"), toxic, clean)).where("sure > 0.9")
+    best = sure.orderBy(F.desc(F.col("hit") * F.col("sure")), "w").limit(MINED_WORDS + len(model.words)).collect()
+    counted = rows.select("text", "toxic").mapInPandas(grams, "b int, clean long, toxic long").groupBy("b").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # BUCKETS rows at most
+    counts = np.zeros((2, BUCKETS))
+    counts[:, counted["b"]] = counted[["clean", "toxic"]].to_numpy().T
+    model.mine([bytes(r["w"]) for r in best], counts, toxic, clean)
+
+
+def _bits(model: Model, rows: DataFrame):
+    """(feature bits, labels) of a sample, on the driver, in order of a hash of the id."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(ids, texts, toxic):
+        return ([np.packbits(shared.value.features(text_words(x), text_grams(x)) > 0).tobytes() for x in texts.to_pylist()],)
+
+    got = map_columns(rows.withColumn("h", F.xxhash64("doc_id")), ["h", "toxic"], ["doc_id", "text", "toxic"], run, "bits binary").orderBy("h", "toxic", "bits").toPandas()
+    n = model.n_votes + len(model.grams)
+    bits = np.frombuffer(b"".join(map(bytes, got["bits"])), np.uint8).reshape(len(got), -1)
+    return np.unpackbits(bits, axis=1)[:, :n], got["toxic"].to_numpy(float, na_value=np.nan)
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, more_rows: int = MORE_ROWS, lexicon=LEXICON) -> Model:
     """Train on labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``fit_rows``, the least by hash.
 
-    Repeated labels of one id: the larger counts. Without labelled rows, or with one label only,
-    the lexicon votes alone.
+    The classifier also sees rows without a label, none of them held out, under the label model's
+    posteriors: of ``more_rows`` of them those for which any voter fires. Labels other than 1 count as clean, null ones and those of null ids not
+    at all. Repeated labels of one id: the larger counts. Of repeated documents one text counts in
+    the samples (the least), every row in the rates. Without labelled rows, or with one label only,
+    the lexicon votes alone. Columns other than doc_id, text and toxic are ignored.
     """
     model = Model(lexicon)
-    chosen = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    )
-
-    def featurise(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [b" ".join(sorted(text_words(x))) for x in pdf["text"]], "grams": [text_grams(x).astype("<u2").tobytes() for x in pdf["text"]]})
-
-    # At most fit_rows ids: a proven bound for the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(featurise, "toxic int, words binary, grams binary").limit(2 * fit_rows).toPandas()
-    y = rows["toxic"].to_numpy() == 1
-    found = [(bytes(w), np.frombuffer(bytes(g), "<u2")) for w, g in zip(rows["words"], rows["grams"])]
-    del rows
-    if y.any() and not y.all():
-        model.mine(found, y)
-        votes = np.array([model.votes(set(w.split()), g) for w, g in found])
-        model.labels = LabelModel.start(votes, y)
-        _refine(model, docs)
-        target = np.clip(model.labels.posterior(votes, y.astype(float)), 0.001, 0.999)
-        x = np.empty((len(found), model.n_votes + len(model.grams)), np.uint8)
-        for k, (w, g) in enumerate(found):
-            x[k] = model.features(set(w.split()), g)
-        del found
-        model.w, model.b = _logistic(x, target)
-        model.b -= _threshold(x, target)
+    learn = lambda df: df.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 0))
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    told = learn(labels).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    rows = _sample(docs, first(told, fit_rows), "toxicity-sample")
+    kinds = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
+    if toxic and clean:
+        _mine(model, rows, toxic, clean)
+        x, y = _bits(model, rows)
+        votes = x[:, : model.n_votes].astype(np.float32)
+        model.labels = LabelModel.start(votes, y == 1)
+        _refine(model, docs, votes, y)
+        target = np.clip(model.labels.posterior(votes, y), 0.001, 0.999)
+        rest = first(learn(docs.select("doc_id")).join(told, "doc_id", "left_anti").distinct(), more_rows).withColumn("toxic", F.lit(None).cast("int"))
+        more = _sample(docs, rest, "toxicity-more")
+        unlabelled, _ = _bits(model, more)
+        unlabelled = unlabelled[unlabelled[:, : model.n_votes].any(axis=1)]  # where all abstain there is no evidence to learn from
+        guess = np.clip(model.labels.posterior(unlabelled[:, : model.n_votes].astype(np.float32)), 0.001, 0.999)
+        scale = np.r_[np.full(model.n_votes, 3, np.uint8), np.ones(len(model.grams), np.uint8)]  # as in Model.features
+        x, unlabelled = x * scale, unlabelled * scale
+        model.w, model.b = _logistic(np.concatenate([x, unlabelled]), np.concatenate([target, guess]))
+        model.b -= _threshold(x, target, unlabelled, guess)
+        release(more)
     else:
         model.w, model.b = 3 * np.ones(model.n_votes, np.float32), np.float32(-3)
+    release(rows)
     return model
 
 
-def _refine(model: Model, docs: DataFrame) -> None:
-    """Expectation maximisation over the vote patterns of all documents, counted in the cluster."""
+def _refine(model: Model, docs: DataFrame, sample: np.ndarray, y: np.ndarray) -> None:
+    """Expectation maximisation over the vote patterns of all documents, counted in the cluster.
+
+    The annotators' rates and the correlation weights follow from the labelled sample's votes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def vote(batches):
@@ -254,34 +308,29 @@ def _refine(model: Model, docs: DataFrame) -> None:
         # One fixed-size row a partition, summed by place in the cluster.
         parts = patterns.mapInPandas(expect, "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
         hit, all_, toxic, rows = parts[:m], parts[m : 2 * m], parts[2 * m], parts[-1]
-        strength = 50.0  # pseudo-rows that hold the labelled rates
-        a = (hit + strength * lm.toxic) / (toxic + strength)
-        b = (all_ - hit + strength * lm.clean) / (rows - toxic + strength)
-        model.labels = LabelModel(min(max(toxic / max(rows, 1), 0.005), 0.5), np.clip(a, 1e-4, 0.9), np.clip(b, 1e-6, 0.5), lm.weight)
+        a = (hit + STRENGTH * lm.toxic) / (toxic + STRENGTH)
+        b = (all_ - hit + STRENGTH * lm.clean) / (rows - toxic + STRENGTH)
+        weight, annotator = lm.weights(sample, lm.posterior(sample, y)), lm.annotators(sample, y)
+        model.labels = LabelModel(min(max(toxic / max(rows, 1), 0.005), 0.5), np.clip(a, 1e-4, 0.9), np.clip(b, 1e-6, 0.5), weight, annotator)
+    release(patterns)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of each whole text; null counts as empty; repeated rows score alike."""
+    """doc_id, score of each whole text; null counts as empty; repeated rows score alike; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [shared.value.score(x) for x in pdf["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_columns(docs, ["doc_id"], ["text"], lambda texts: ([shared.value.score(x) for x in texts.to_pylist()],), "score double")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, that score under the threshold."""
+    """The rows, with all their columns as they are, that score under the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
 
     def run(batches):
-        for pdf in batches:
-            keep = np.array([shared.value.score(x) < threshold for x in pdf["text"]], bool)
-            yield pdf[keep]
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([shared.value.score(x) < threshold for x in texts], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema).select(*columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10(spark, sf_dir):
