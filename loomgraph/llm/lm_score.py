@@ -20,9 +20,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table
 
@@ -114,7 +117,8 @@ def _batches(pdf: pd.DataFrame, rows: int = 256):
 class Model:
     """Vocabulary, prior tables and attention parameters; its size is bounded by VOCAB and DIM alone."""
 
-    def __init__(self, ids: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], unknown: int):
+    def __init__(self, ids: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], unknown: int, counts: np.ndarray | None = None):
+        """``counts`` by raw id tell how other ids share their mass; without them it is shared evenly among ``unknown``."""
         v = len(ids) + 1  # the last stands for all other ids
         self.map = np.full(65536, v - 1, np.int64)
         self.map[ids] = np.arange(len(ids))
@@ -125,12 +129,16 @@ class Model:
         uni /= uni.sum()
         total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True) + 1.0
         self.prior = ((c + kinds * uni) / (total + kinds)).astype(np.float32)
-        self.rare = np.float32(np.log(max(1, unknown)))  # all other ids share their mass evenly
+        self.share = np.zeros(65536, np.float32)  # log share of an id in the mass of all other ids
+        if counts is not None:
+            other = np.flatnonzero(self.map[: len(counts)] == v - 1)
+            self.share[other] = np.log((counts[other] + 0.5) / max(0.5, (counts[other] + 0.5).sum()))
         self.cls = self._classes(c, uni)
         self.prior_class = np.zeros((v, CLASSES), np.float32)
         np.add.at(self.prior_class.T, self.cls, self.prior.T)
         self.log_prior = np.log(self.prior)
-        self.log_prior[:, v - 1] -= self.rare
+        if counts is None:
+            self.log_prior[:, v - 1] -= np.float32(np.log(max(1, unknown)))
         del self.prior
         rng = np.random.default_rng(3)
         small = lambda *s: (0.1 * rng.standard_normal(s)).astype(np.float32)
@@ -179,7 +187,7 @@ class Model:
         np.exp(g, out=g)
         return self.log_prior[x, y] + own - np.log(np.einsum("ijk,ijk->ij", g, self.prior_class[x]))
 
-    def train(self, w: np.ndarray, epochs: int, rate: float, seed: int = 0, batch: int = 64) -> None:
+    def train(self, w: np.ndarray, epochs: int, rate: float, seed: int = 0, batch: int = 128) -> None:
         """Adam over windows of WINDOW + 1 ids; places past a text's end are -1 and carry no loss."""
         p, rng = self.p, np.random.default_rng(seed)
         m, s, t = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
@@ -189,25 +197,40 @@ class Model:
                 part = w[order[i : i + batch]]
                 live = (part[:, 1:] >= 0).astype(np.float32)
                 x, y = np.maximum(part[:, :-1], 0), np.maximum(part[:, 1:], 0)
-                e, q, k, v, a, h, g = self.forward(x)
-                z = np.exp(np.minimum(g, 20)) * self.prior_class[x]
-                d = z / z.sum(axis=2, keepdims=True)
-                np.put_along_axis(d, self.cls[y][..., None], np.take_along_axis(d, self.cls[y][..., None], 2) - 1, 2)
-                d *= (live / max(1.0, live.sum()))[..., None]
+                e, q, k, v, a, h, d = self.forward(x)
+                np.minimum(d, 20, out=d)
+                np.exp(d, out=d)
+                d *= self.prior_class[x]
+                live /= max(1.0, live.sum())
+                d *= (live / d.sum(axis=2))[..., None]
+                rows = d.reshape(-1, CLASSES)
+                rows[np.arange(len(rows)), self.cls[y].ravel()] -= live.ravel()
                 dh = d @ p["C"].T
-                da = dh @ v.transpose(0, 2, 1)
-                ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+                ds = dh @ v.transpose(0, 2, 1)
+                ds -= np.einsum("ijk,ijk->ij", ds, a)[..., None]
+                ds *= a
                 dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
                 r = np.float32(1 / np.sqrt(DIM))
                 de = dh + dq @ (p["Q"].T * r) + dk @ p["K"].T + dv @ p["V"].T
                 flat = lambda u: u.reshape(-1, u.shape[-1])
                 grad = {"C": flat(h).T @ flat(d), "b": flat(d).sum(axis=0), "Q": flat(e).T @ flat(dq) * r, "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv), "P": de.sum(axis=0), "E": np.zeros_like(p["E"])}
-                np.add.at(grad["E"], x.ravel(), flat(de))
+                by = np.argsort(x.ravel(), kind="stable")
+                ids = x.ravel()[by]
+                head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                grad["E"][ids[head]] = np.add.reduceat(flat(de)[by], head)
                 t += 1
+                up, down = np.float32(rate / (1 - 0.9**t)), np.float32(1 / np.sqrt(1 - 0.99**t))
                 for name, u in grad.items():
-                    m[name] = 0.9 * m[name] + 0.1 * u
-                    s[name] = 0.99 * s[name] + 0.01 * u * u
-                    p[name] -= rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.99**t)) + 1e-8)
+                    m[name] *= np.float32(0.9)
+                    m[name] += np.float32(0.1) * u
+                    s[name] *= np.float32(0.99)
+                    u *= u
+                    s[name] += np.float32(0.01) * u
+                    np.sqrt(s[name], out=u)
+                    u *= down
+                    u += np.float32(1e-8)
+                    np.divide(m[name], u, out=u)
+                    p[name] -= up * u
 
     def pack(self) -> bytes:
         return np.concatenate([v.ravel() for v in self.p.values()]).astype("<f4").tobytes()
@@ -224,11 +247,15 @@ class Model:
         count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
         owner = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        flat = np.concatenate([self.map[np.concatenate(texts)], np.zeros(WINDOW + 1, np.int64)])
+        raw = np.concatenate(texts)
+        flat = np.concatenate([self.map[raw], np.zeros(WINDOW + 1, np.int64)])
         start = (np.cumsum(n + 1) - (n + 1))[owner] + nth * STRIDE
         stop = np.minimum(n[owner] - nth * STRIDE, WINDOW)  # targets in the window
         fresh = np.where(nth > 0, WINDOW - STRIDE, 0)  # those before were scored by the last window
-        out = np.zeros(len(texts))
+        # Shares of rare ids, of all ids but each text's first.
+        own = self.share[raw]
+        own[np.cumsum(n + 1) - (n + 1)] = 0
+        out = np.bincount(np.repeat(np.arange(len(texts)), n + 1), weights=own, minlength=len(texts))
         place = np.arange(WINDOW)
         for i in range(0, len(owner), chunk):
             s = slice(i, i + chunk)
@@ -334,14 +361,39 @@ def fit(docs: DataFrame, blob, parts: int):
     """(model, word counts by part, N, V) from the training rows."""
     counted = materialize(count(docs, blob, parts), "lm-counts")
     words = materialize(counted.where("kind = 'w'").groupBy("part").applyInPandas(_sum_counts("<u8"), _COUNTS), "lm-words")
-    pairs = counted.where("kind = 'b'").groupBy("part").applyInPandas(_sum_counts("<u4"), _COUNTS).select("a", "b").toPandas()  # at most VOCAB-like squares of ids in use
-    k = np.frombuffer(b"".join(map(bytes, pairs["a"])), "<u4")
-    n = np.frombuffer(b"".join(map(bytes, pairs["b"])), np.int64)
-    prev, cur = (k >> 16).astype(np.int64), (k & 0xFFFF).astype(np.int64)
-    uni = np.bincount(cur, weights=n, minlength=RAW_IDS) if len(k) else np.zeros(RAW_IDS)
+    pairs = materialize(counted.where("kind = 'b'").groupBy("part").applyInPandas(_sum_counts("<u4"), _COUNTS).select("a", "b"), "lm-pairs")
+
+    def ids_of(blob):
+        k = np.frombuffer(bytes(blob), "<u4")
+        return (k >> 16).astype(np.int64), (k & 0xFFFF).astype(np.int64)
+
+    def totals(batches):
+        total = np.zeros(RAW_IDS)
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"]):
+                total += np.bincount(ids_of(a)[1], weights=np.frombuffer(bytes(b), np.int64), minlength=RAW_IDS)
+        yield pd.DataFrame({"i": np.flatnonzero(total), "n": total[total > 0]})
+
+    counts = pairs.mapInPandas(totals, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # RAW_IDS rows at most
+    uni = np.zeros(RAW_IDS)
+    uni[counts["i"]] = counts["n"]
     ids = np.argsort(-uni, kind="stable")[: VOCAB - 1]
     ids = np.sort(ids[uni[ids] > 0])
-    model = Model(ids, (prev, cur, n), RAW_IDS - len(ids))
+    place = np.full(65536, len(ids), np.int64)
+    place[ids] = np.arange(len(ids))
+
+    def folded(batches):
+        for pdf in batches:
+            for a, b in zip(pdf["a"], pdf["b"]):
+                prev, cur = ids_of(a)
+                k, inv = np.unique(place[prev] * VOCAB + place[cur], return_inverse=True)
+                yield pd.DataFrame({"a": [k.astype("<u4").tobytes()], "b": [np.bincount(inv, weights=np.frombuffer(bytes(b), np.int64)).astype("<f4").tobytes()]})
+
+    met = pairs.mapInPandas(folded, "a binary, b binary").toPandas()  # 8 bytes for each of VOCAB * VOCAB pairs at most, but for the last row of the table
+    k, n = np.frombuffer(b"".join(map(bytes, met["a"])), "<u4").astype(np.int64), np.frombuffer(b"".join(map(bytes, met["b"])), "<f4")
+    whole = np.append(ids, PAD)  # PAD is no vocabulary id and so stands for the rest
+    model = Model(ids, (whole[k // VOCAB], whole[k % VOCAB], n), RAW_IDS - len(ids), uni)
+    del met, k, n
 
     # Windows of all documents; a task's are dealt to shards of bounded size and trained where they lie.
     wins = counted.where("kind = 't'").select("part", "a")
@@ -349,14 +401,15 @@ def fit(docs: DataFrame, blob, parts: int):
     step = about = max(1, -(-total // SHARD_WINDOWS))
     vocab = model.map
 
-    def unpack(blob) -> np.ndarray:
-        w = np.frombuffer(bytes(blob), "<u2").reshape(-1, WINDOW + 1)
-        return np.where(w != PAD, vocab[np.where(w != PAD, w, 0)], -1).astype("<i4")
+    def unpack(blob, start: int, by: int) -> np.ndarray:
+        """Every ``by``-th window from ``start`` on, in vocabulary ids; only these are ever widened."""
+        w = np.frombuffer(blob, "<u2").reshape(-1, WINDOW + 1)[start::by]
+        return np.where(w != PAD, vocab[w], -1).astype("<i4")
 
     def every(batches):
         for pdf in batches:
             for k, a in zip(pdf["part"], pdf["a"]):
-                yield pd.DataFrame({"part": [k], "w": [unpack(a)[int(k) % step :: step].tobytes()]})
+                yield pd.DataFrame({"part": [k], "w": [unpack(a, int(k) % step, step).tobytes()]})
 
     pilot = wins.mapInPandas(every, "part long, w binary").orderBy("part").toPandas()["w"]  # about SHARD_WINDOWS windows
     pilot = np.frombuffer(b"".join(map(bytes, pilot)), "<i4").reshape(-1, WINDOW + 1).astype(np.int64)
@@ -369,13 +422,13 @@ def fit(docs: DataFrame, blob, parts: int):
 
             for pdf in batches:
                 for k, a in zip(pdf["part"], pdf["a"]):
-                    w = unpack(a)
-                    shards = -(-len(w) // SHARD_WINDOWS)
+                    shards = -(-(len(a) // (2 * (WINDOW + 1))) // SHARD_WINDOWS)
                     for i in range(shards):
+                        w = unpack(a, i, shards).astype(np.int64)
                         own = copy.copy(shared.value)  # the tables are shared
                         own.p = {name: x.copy() for name, x in own.p.items()}
-                        own.train(w[i::shards].astype(np.int64), epochs=1, rate=0.002, seed=(int(k) + i) % 2**32)
-                        yield pd.DataFrame({"k": [(int(k) + i) % about], "n": [len(w[i::shards])], "p": [own.pack()]})
+                        own.train(w, epochs=1, rate=0.002, seed=(int(k) + i) % 2**32)
+                        yield pd.DataFrame({"k": [(int(k) + i) % about], "n": [len(w)], "p": [own.pack()]})
 
         model.unpack(_average(wins.mapInPandas(go_on, "k long, n long, p binary")))
     return model, words
@@ -384,12 +437,13 @@ def fit(docs: DataFrame, blob, parts: int):
 def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    Null texts are empty and are one end. Repeated rows are scored one by one, and counted so in
-    training. Without training rows the prior is even over ids. Other columns are ignored.
+    Null texts are empty and are one end. Rows of one id, null or not, are scored one by one, and
+    counted so in training; a null id counts as the empty text when rows are held out. Words of
+    equal counts are alike, so ties decide nothing. Ids may be of any type and are returned as they
+    are. Without training rows the prior is even over ids. Other columns are ignored.
     """
     with open(vocabulary or default_vocabulary(), "rb") as f:
         blob = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id"), 1).alias("held_out"))
     about = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(8, about // (6 * PART_WORDS))
@@ -410,6 +464,14 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     heads = (head["h"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order])
     shared = docs.sparkSession.sparkContext.broadcast((model, heads))
 
+    added = StructType.fromDDL("uid long, n_tokens long, log double, known long, score double, part long, h binary, u binary")
+    schema = StructType([docs.schema["doc_id"], docs.schema["held_out"], *added.fields])
+    arrow = to_arrow_schema(schema)
+
+    def rows(n: int, **columns):
+        """A batch of ``n`` rows, null in the columns that aren't given."""
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns and isinstance(columns[f.name], pa.Array) else pa.array(columns.get(f.name, [None] * n), f.type) for f in arrow], schema=arrow)
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -424,12 +486,13 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         def flush():
             h, u = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
             base = int(u.min()) if len(u) else 0
-            rows = [(base, *x) for x in _grouped(_part(h, parts), h, (u - base).astype("<u4"))]
-            return pd.DataFrame({"part": [r[1] for r in rows], "uid": [r[0] for r in rows], "h": [r[2].tobytes() for r in rows], "u": [r[3].tobytes() for r in rows]})
+            found = _grouped(_part(h, parts), h, (u - base).astype("<u4"))
+            return rows(len(found), part=[x[0] for x in found], uid=[base] * len(found), h=[x[1].tobytes() for x in found], u=[x[2].tobytes() for x in found])
 
         for whole in batches:
-            for pdf in _batches(whole):
-                places = words.look_up([split_words(x) for x in pdf["text"]])
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                places = words.look_up([split_words(x) for x in batch.column(1).to_pylist()])
                 scores = own.score([words.subwords(at) for at in places])
                 if len(hit) < len(words.hash):
                     new = words.hash[len(hit) :]
@@ -449,20 +512,16 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 if len(words.index) > CACHE_WORDS:
                     words.clear()
                     hit = hit[:0]
-                yield pd.DataFrame({"uid": uid + np.arange(len(pdf)), "doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": [len(p) + 1 for p in places], "log": logs, "known": known, "score": scores})
-                uid += len(pdf)
+                n = batch.num_rows
+                yield rows(n, doc_id=batch.column(0), held_out=batch.column(2), uid=uid + np.arange(n), n_tokens=[len(p) + 1 for p in places], log=logs, known=known, score=scores)
+                uid += n
                 if done > FLUSH_BYTES:
                     yield flush()
                     held, done = [], 0
         if held:
             yield flush()
 
-    def padded(batches):
-        cols = ["uid", "doc_id", "held_out", "n_tokens", "log", "known", "score", "part", "h", "u"]
-        for out in run(batches):
-            yield out.reindex(columns=cols).astype({"doc_id": "Int64", "n_tokens": "Int64", "known": "Int64", "part": "Int64", "held_out": "boolean"}).replace({np.nan: None})
-
-    scored = materialize(docs.mapInPandas(padded, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, log double, known long, score double, part long, h binary, u binary"), "lm-scores")
+    scored = materialize(docs.mapInArrow(run, schema), "lm-scores")
 
     def rate(tails: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(map(bytes, tails["h"])), "<u8")
