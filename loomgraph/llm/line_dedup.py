@@ -148,9 +148,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return _dedup(docs).select(*names, "text", "n_lines", "n_removed")
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
-    """The documents, with their columns as they are, but ``text`` rid of removed lines; as ``dedup_lines`` otherwise."""
-    return _dedup(docs).select(*[F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])
+def remove_lines(docs: DataFrame, emptied: bool = True) -> DataFrame:
+    """The documents, with their columns as they are, but ``text`` rid of removed lines; as ``dedup_lines`` otherwise.
+
+    Without ``emptied``, documents that had words and lost them all are left out; those that had
+    none before, or no text, stay.
+    """
+    out = _dedup(docs)
+    if not emptied:
+        out = out.where(~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)) | F.col("text").rlike(WORD))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns])
 
 
 def op2(spark, sf_dir):

@@ -14,18 +14,18 @@ import re
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
+
+from loomgraph.llm.common import map_columns, table
 
 MARK = "▁"
 #: Edges that a worker's unit cache may hold before it starts anew.
 CACHE_EDGES = 5_000_000
 #: Bytes of text that go through the lattice at a time, if one text has no more.
 CHUNK_BYTES = 400_000
-#: Types that a document's id may have.
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def default_model() -> str:
@@ -272,36 +272,48 @@ def _sampler(blob: bytes, alpha: float) -> Sampler:
     return _WORKER[k]
 
 
-def _chunks(pdf: pd.DataFrame, chars: int = 600_000):
-    """Slices of about so many characters, one row at least."""
-    size = pdf["text"].map(lambda x: len(x) if isinstance(x, str) else 0).to_numpy()
-    cut = np.cumsum(size) // chars
-    for k in np.unique(cut):
-        yield pdf[cut == k]
+def _vocabulary(df: DataFrame, model: str | None):
+    with open(model or default_model(), "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
 
+def _chunks(column):
+    """(from, to) of slices of about CHUNK_BYTES of a string or binary column, one row at least."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    cut = np.cumsum(size, dtype=np.int64) // CHUNK_BYTES
+    starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]).tolist() if len(cut) else []
+    return zip(starts, [*starts[1:], len(cut)])
 
-def encode(docs: DataFrame, model: str | None = None, alpha: float = 1.0, key: str = "doc_id", keep=("doc_id",)) -> DataFrame:
-    """Adds ``n_pieces`` and ``piece_ids`` (32-bit little-endian ids, packed) of a sampled segmentation.
+
+def encode(docs: DataFrame, model: str | None = None, alpha: float = 1.0, key: str = "doc_id", keep=("doc_id",), check: bool = False) -> DataFrame:
+    """Columns ``keep``, and ``n_pieces`` and ``piece_ids`` (32-bit little-endian ids, packed) of a sampled segmentation.
 
     The draw depends on the row's key and text alone: repeated rows get one segmentation. Null texts
-    have null ids, empty texts none. Columns other than ``keep`` and the text are dropped.
+    have null ids and no pieces, empty texts empty ids. With ``check``, ``lossless`` tells whether the
+    packed ids decode to the very bytes of the text; a null text counts as lossless. Columns of
+    ``keep`` go through as they are, whatever their type; a column of it named as one of the new ones gives way.
     """
-    with open(model or default_model(), "rb") as f:
-        blob = docs.sparkSession.sparkContext.broadcast(f.read())
-    keep = list(dict.fromkeys([*keep, key]))
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keep, "text"] if c in types) + ", n_pieces int, piece_ids binary"
+    blob = _vocabulary(docs, model)
+    new = {"n_pieces": IntegerType(), "piece_ids": BinaryType()} | ({"lossless": BooleanType()} if check else {})
+    keep = [c for c in dict.fromkeys(keep) if c not in new]
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(c, t) for c, t in new.items()])
 
     def run(batches):
         sampler = _sampler(blob.value, alpha)
-        for whole in batches:
-            for pdf in _chunks(whole):
-                texts = [x if isinstance(x, str) else None for x in pdf["text"]]
-                seeds = np.array([row_seed(k) for k in pdf[key]], np.uint64)
-                ids = segment(sampler, [x or "" for x in texts], seeds)
-                yield pdf.assign(n_pieces=[len(i) for i in ids], piece_ids=[None if x is None else i.astype("<i4").tobytes() for x, i in zip(texts, ids)])
+        for batch in batches:
+            place = batch.schema.get_field_index
+            texts_all, keys = batch.column(place("text")), batch.column(place(key))
+            for lo, hi in _chunks(texts_all):
+                texts = texts_all.slice(lo, hi - lo).to_pylist()
+                ids = segment(sampler, [x or "" for x in texts], np.array([row_seed(k) for k in keys.slice(lo, hi - lo).to_pylist()], np.uint64))
+                packed = [None if x is None else i.astype("<i4").tobytes() for x, i in zip(texts, ids)]
+                made = [pa.array([len(i) for i in ids], pa.int32()), pa.array(packed, pa.binary())]
+                if check:
+                    back = [x is None or decode_ids(sampler.p, np.frombuffer(raw, "<i4")) == x.encode("utf-8", "surrogatepass") for x, raw in zip(texts, packed)]
+                    made.append(pa.array(back, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(place(c)).slice(lo, hi - lo) for c in keep), *made], names=schema.names)
 
-    return docs.select(*[c for c in keep], *([] if "text" in keep else ["text"])).mapInPandas(run, schema)
+    return docs.select(*dict.fromkeys([*keep, key, "text"])).mapInArrow(run, schema)
 
 
 def segment(sampler: Sampler, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
@@ -330,57 +342,27 @@ def decode_ids(pieces: Pieces, ids: np.ndarray) -> bytes:
     return pieces.flat[_runs(pieces.off[ids], pieces.lens[ids])].tobytes()
 
 
-def decode(df: DataFrame, model: str | None = None) -> DataFrame:
-    """Replaces ``piece_ids`` by the ``decoded`` text, exactly the text that was encoded; null ids give null."""
-    with open(model or default_model(), "rb") as f:
-        blob = df.sparkSession.sparkContext.broadcast(f.read())
-    rest = [f for f in df.schema if f.name != "piece_ids"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", decoded string"
+_DECODERS: dict = {}
 
-    def run(batches):
-        p = _sampler(blob.value, 1.0).p if not _WORKER else next(iter(_WORKER.values())).p
-        for pdf in batches:
-            out = [None if raw is None else decode_ids(p, np.frombuffer(raw, "<i4")).decode("utf-8", "surrogatepass") for raw in pdf["piece_ids"]]
-            yield pdf.drop(columns="piece_ids").assign(decoded=out)
 
-    return df.mapInPandas(run, schema)
-
-
-def round_trip(docs: DataFrame, model: str | None = None, alpha: float = 1.0) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256, decoded_sha256, lossless: encoded, then decoded and compared.
+def decode(df: DataFrame, model: str | None = None) -> DataFrame:
+    """Replaces ``piece_ids`` by the ``decoded`` text, exactly the text that was encoded; null ids give null.
 
-    Both ways in one worker, so that neither ids nor decoded texts leave it. A null text has null
-    hashes, no pieces, and counts as lossless.
+    Other columns are kept as they are, but one named decoded gives way. Ids of another model don't decode to the text.
     """
-    with open(model or default_model(), "rb") as f:
-        blob = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = pa.schema([("doc_id", _ARROW[docs.schema["doc_id"].dataType.simpleString()]), ("n_pieces", pa.int32()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
+    blob = _vocabulary(df, model)
+    rest = [c for c in df.columns if c not in ("piece_ids", "decoded")]
 
-    def run(batches):
-        sampler = _sampler(blob.value, alpha)
-        for batch in batches:
-            keys, column = batch.column(0), batch.column(1)
-            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-            cut = np.cumsum(size, dtype=np.int64) // CHUNK_BYTES
-            starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if len(cut) else []
-            for lo, hi in zip(starts, [*starts[1:], len(cut)]):
-                texts = column.slice(lo, hi - lo).to_pylist()
-                ids = segment(sampler, [x or "" for x in texts], np.array([row_seed(k) for k in keys.slice(lo, hi - lo).to_pylist()], np.uint64))
-                rows = []
-                for x, i in zip(texts, ids):
-                    if x is None:
-                        rows.append((0, None, None, True))
-                        continue
-                    back = decode_ids(sampler.p, i)
-                    rows.append((len(i), hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == x.encode("utf-8", "surrogatepass")))
-                columns = [keys.slice(lo, hi - lo), *(pa.array(v, f.type) for v, f in zip(zip(*rows), list(schema)[1:]))]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+    def run(column):
+        name = hashlib.sha256(blob.value).digest()
+        if name not in _DECODERS:
+            _DECODERS.clear()
+            _DECODERS[name] = Pieces(blob.value)
+        p = _DECODERS[name]
+        return ([None if raw is None else decode_ids(p, np.frombuffer(raw, "<i4")).decode("utf-8", "surrogatepass") for raw in column.to_pylist()],)
 
-    out = ", ".join(["doc_id " + docs.schema["doc_id"].dataType.simpleString(), "n_pieces int, ids_sha256 string, decoded_sha256 string, lossless boolean"])
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return map_columns(df, rest, ["piece_ids"], run, "decoded string", 256)
 
 
 def op6(spark, sf_dir):
-    from loomgraph.llm.common import table
-
-    return round_trip(table(spark, sf_dir, "documents"))
+    return encode(table(spark, sf_dir, "documents"), check=True)

@@ -111,11 +111,17 @@ def test_lm_trains_on_every_subword_of_long_texts(spark):
 
 
 def test_sentencepiece_is_lossless_reproducible_and_fits_the_model(spark, odd):
-    rows = sentencepiece_sampling.round_trip(odd).collect()
+    rows = sentencepiece_sampling.encode(odd, check=True).collect()
     assert all(r.lossless for r in rows) and len(rows) == odd.count()
-    again = sentencepiece_sampling.round_trip(odd.repartition(3)).collect()
-    key = lambda rs: sorted((str(r.doc_id), str(r.ids_sha256)) for r in rs)
-    assert key(rows) == key(again)
+    assert {(r.n_pieces, r.piece_ids) for r in rows if r.doc_id == 1} == {(0, None)} and {(r.n_pieces, bytes(r.piece_ids)) for r in rows if r.doc_id == 2} == {(0, b"")}
+    again = sentencepiece_sampling.encode(odd.repartition(3), check=True).collect()
+    key = lambda rs: sorted((str(r.doc_id), str(r.piece_ids)) for r in rs)
+    assert key(rows) == key(again) and sentencepiece_sampling.encode(odd.limit(0)).count() == 0
+    other = odd.selectExpr("doc_id", "text", "lang AS n_pieces", "cast(doc_id AS string) AS decoded")
+    back = sentencepiece_sampling.decode(sentencepiece_sampling.encode(other, keep=("doc_id", "text", "n_pieces", "decoded"))).collect()
+    assert len(back) == len(rows) and all(r.decoded == r.text and isinstance(r.n_pieces, int) for r in back)
+    text_ids = odd.selectExpr("cast(doc_id AS decimal(20, 0)) AS doc_id", "text")
+    assert sentencepiece_sampling.encode(text_ids, check=True).where("NOT lossless").count() == 0
     with open(sentencepiece_sampling.default_model(), "rb") as f:
         p = sentencepiece_sampling.Pieces(f.read())
     seeds = np.arange(4000, dtype=np.uint64)
@@ -301,3 +307,25 @@ def test_suffix_dedup_of_one_passage_in_many_contexts(spark, monkeypatch, hot):
     rows = suffix_dedup.dedup_spans(spark.createDataFrame([*docs, (None, "no id")], "doc_id long, text string")).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows if r.doc_id}
     assert got == want and len(rows) == 301
+
+
+def test_large_ids_beside_a_null_id(spark):
+    big = [2**60 + 1, 2**60 + 3, None]
+    docs = spark.createDataFrame([(i, "one two three four five six seven") for i in big], "doc_id long, text string")
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    want = sorted(big, key=str)
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    for df in (
+        lm_score.score(docs), line_dedup.dedup_lines(docs), suffix_dedup.dedup_spans(docs), sentencepiece_sampling.encode(docs), license_scan.scan(docs),
+        minhash_dedup.near_duplicates(docs), toxicity.score(docs, model), toxicity.reject(docs, model),
+    ):
+        assert ids(df) == want
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {big[0]: (big[0], True), big[1]: (big[0], False), None: (None, True)}
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "one two three"), ("b", None), (None, "")], "doc_id string, text string")
+    assert {r.doc_id for r in lm_score.score(docs).collect()} == {"a", "b", None}
+    assert {r.doc_id for r in sentencepiece_sampling.encode(docs).collect()} == {"a", "b", None}
+    assert {r.doc_id for r in license_scan.scan(docs).collect()} == {"a", "b", None}
