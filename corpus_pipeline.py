@@ -1,6 +1,7 @@
 """Corpus pipeline: five stages over ``documents``, each one operator of ``loomgraph.llm``.
 
-All stages but the last return the columns of documents; the last returns the encoded documents.
+All stages but the last return the columns of documents; the last returns the encoded documents:
+packed piece ids beside the columns that describe a document.
 SQL can't express the first stage's model or the last stage's draws, so there is no SQL for the
 whole; tests hold each stage against a brute-force version.
 """
@@ -20,8 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are similar to earlier ones; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Documents without lines that are similar to earlier ones; n_chars follows the text.
+
+    A document all of whose words were in such lines is nothing but a copy and goes. One that had no
+    words before, or no text, stays.
+    """
+    out = line_dedup.remove_lines(docs, emptied=False)
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns]
     return out.select(*columns)
 
@@ -37,8 +42,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every document, checked to decode to its text."""
-    return sentencepiece_sampling.round_trip(docs)
+    """Sampled piece ids of every document beside its other columns, each checked to decode to its text."""
+    return sentencepiece_sampling.encode(docs, keep=[c for c in docs.columns if c != "text"], check=True)
 
 
 STAGES = [
