@@ -9,9 +9,9 @@ number) has a Jaccard similarity of ``THRESHOLD`` or more; lines without words s
 3. first lines are posted under their prefix, the words rare enough that two similar lines share
    one; a semi-join under the length, positional and bitmap filters finds lines with any possible
    partner, at most one row for each posting;
-4. the postings that met get finer bitmaps and the whole sets, and a second semi-join verifies
-   Jaccard against lines before. A line is decided by the first similar one that it meets, so that
-   a large group of similar lines makes one row for each posting and no pairs.
+4. the postings that met get finer bitmaps, and semi-joins that carry the whole sets verify Jaccard
+   against lines before. A line is decided by the first similar one that it meets, so that a large
+   group of similar lines makes one row for each posting and no pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ WORD, ODD_SPACE = "[^\\x20\\x09-\\x0D]", "[\\x09-\\x0D]"
 NEED = f"(({NUM} * (a.n + b.n) + {NUM + DEN - 1}) div {NUM + DEN})"
 EARLIER = "(b.pos < a.pos OR (b.pos = a.pos AND b.line_no < a.line_no))"
 SIMILAR = f"size(array_intersect(a.keys, b.keys)) >= {NEED}"
+LATER = "(a.pos < b.pos OR (a.pos = b.pos AND a.line_no < b.line_no))"
 LINE = ["pos", "line_no"]
 
 
@@ -112,9 +113,25 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     release(postings)
     whole = sets(met.select(*LINE).distinct()).withColumns({f"s{k}": _parity(F.col("keys"), k) for k in range(MAPS)})
     whole = materialize(whole, "line-sets")
-    fine = met.drop("sig").join(whole, LINE)
-    sure = materialize(_with(fine, fine, f"{_possible(*(f's{k}' for k in range(MAPS)))} AND {EARLIER} AND {SIMILAR}").select(*LINE).distinct(), "line-verified")
-    release(met, whole)
+    fine = materialize(met.drop("sig").join(whole.drop("keys"), LINE), "line-fine")
+    release(met)
+    near = _possible(*(f"s{k}" for k in range(MAPS)))
+    behind = materialize(_with(fine, fine, f"{near} AND {EARLIER}"), "line-behind")  # with a possible partner before them
+
+    def verified(chosen: DataFrame) -> DataFrame:
+        """Lines of the chosen postings with a similar line before them under the same word."""
+        asked = _with(fine, chosen, f"{near} AND {LATER}")
+        sets_of = whole.select(*LINE, "keys")
+        return _with(chosen.join(sets_of, LINE), asked.join(sets_of, LINE), f"{near} AND {EARLIER} AND {SIMILAR}").select(*LINE).distinct()
+
+    # Whole sets go along with one posting of a line first, that of its word with most lines behind others;
+    # few lines are not verified there, and these come again with all their postings.
+    often = behind.groupBy("tok").agg(F.count("*").alias("often"))
+    one = behind.join(often, "tok").groupBy(*LINE).agg(F.max_by(F.struct(*[c for c in behind.columns if c not in LINE]), F.struct("often", "tok")).alias("p")).select(*LINE, "p.*")
+    sure = materialize(verified(materialize(one, "line-one")), "line-verified")
+    rest = materialize(behind.join(sure, LINE, "left_anti"), "line-rest")
+    sure = materialize(sure.unionByName(verified(rest)), "line-verified")
+    release(fine, behind, rest, whole)
     out = materialize(first.join(sure, LINE, "left_anti"), "line-kept")
     release(first, sure)
     return out
