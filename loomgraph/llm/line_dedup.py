@@ -23,7 +23,7 @@ from loomgraph.llm.common import materialize, release, row_key, table
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
-BUCKET_BITS, MAPS = 16, 4
+BUCKET_BITS, MAPS = 14, 4
 #: A character of a word; white space but the plain space.
 WORD, ODD_SPACE = "[^\\x20\\x09-\\x0D]", "[\\x09-\\x0D]"
 #: Words that two similar lines of a.n and b.n words share at least.
