@@ -12,6 +12,7 @@ HIDDEN_FILE_SUFFIX, HIDDEN_DIR_SUFFIX, HIDDEN_NAME = ".tmp", "~", "cvs"
 INERT_ATTRIBUTES = ("Serializable", "Obsolete", "SerializeField", "Header", "Tooltip", "Range")
 LABELS = ("speculative", "advisory", "proven")
 
+#: Fixed values of the file format: references by guid, and the line that opens a document.
 GUID_PATTERN = r"(?i)(?:guid\\?\"?\s*[:=]\s*\\?\"?|GUID:)([0-9a-f]{32})(?!\w)"
 BOUNDARY_PATTERN = r"^--- !u!(\d+) &(-?\d+)( stripped)?"
 
@@ -115,3 +116,64 @@ def unrank(r: Column) -> Column:
 def weakest(lab: Column) -> Column:
     """Aggregate: weakest of proven and advisory labels; speculative only where it stands alone."""
     return F.coalesce(unrank(F.min(F.when(lab.isin("proven", "advisory"), rank(lab)))), F.max(F.when(lab == "speculative", lab)))
+
+
+def context(line: Column, most: int = 160) -> Column:
+    """A line as shown with a reference: trimmed, then cut."""
+    return F.substring(F.trim(line), 1, most)
+
+
+def is_cs_relevant(path: Column) -> Column:
+    """Scripts and assembly definitions, by extension in any case."""
+    return F.coalesce(path.rlike(r"(?i)\.(cs|asmdef|asmref)$"), F.lit(False))
+
+
+def is_package_sourced(path: Column) -> Column:
+    return F.coalesce(F.startswith(path, F.lit("Packages/")) | F.startswith(path, F.lit("LocalPackages/")), F.lit(False))
+
+
+def of_kind(path: Column, kind: str) -> Column:
+    """Filter of dead candidates: ``cs`` for scripts, ``assets`` for the rest, ``all``."""
+    if kind not in ("assets", "cs", "all"):
+        raise ValueError(f"no such kind: {kind}")
+    script = F.endswith(F.lower(path), F.lit(".cs"))
+    return F.lit(True) if kind == "all" else script if kind == "cs" else ~script
+
+
+def without_cs_caveats(spots: Column, kinds: Column, caveats: tuple[str, ...]) -> Column:
+    """Blind spots of an answer; those about scripts only if some edge of it is a script's or an event's."""
+    return F.when(F.exists(kinds, lambda k: k.isin("cs", "event")), spots).otherwise(F.filter(spots, lambda s: ~s.isin(*caveats)))
+
+
+def has_live_attribute(attrs: Column) -> Column:
+    """Some attribute is not inert; no attributes (or null) have none."""
+    return F.coalesce(F.exists(attrs, lambda a: ~a.isin(*INERT_ATTRIBUTES)), F.lit(False))
+
+
+def attribute_names(attrs: Column) -> Column:
+    """Names without the suffix Attribute, each once, joined by spaces; a bare suffix is a name."""
+    return F.array_join(F.array_distinct(F.transform(attrs, lambda a: F.regexp_replace(a, "(?<=.)Attribute$", ""))), " ")
+
+
+def is_prefab_override(classid: Column, property_path: Column) -> Column:
+    return F.coalesce((classid == 1001) & F.startswith(property_path, F.lit("m_Modification.m_Modifications[")), F.lit(False))
+
+
+def is_script_property(property_path: Column) -> Column:
+    return F.coalesce((property_path == "m_Script") | F.endswith(property_path, F.lit(".m_Script")), F.lit(False))
+
+
+def collision_warning(guid: Column, paths: Column, inline: int = 3) -> Column:
+    """One line for a guid that several files claim: their paths, or beyond ``inline`` their number."""
+    shown = F.array_join(F.array_sort(paths), ", ")
+    return F.when(F.size(paths) <= inline, F.concat(F.lit("guid "), guid, F.lit(" is claimed by "), shown)).otherwise(F.concat(F.lit("guid "), guid, F.lit(" is claimed by "), F.size(paths).cast("string"), F.lit(" files")))
+
+
+def name_order(name: str) -> list[Column]:
+    """Sort keys: by lower case first, then as it is."""
+    return [F.lower(name), F.col(name)]
+
+
+def figures(count: Column, seconds: Column, size: Column) -> list[Column]:
+    """A count with separators, seconds with one decimal, bytes as whole MB."""
+    return [F.format_number(count, 0), F.concat(F.format_number(seconds, 1), F.lit(" s")), F.concat(F.format_number(size / (1 << 20), 0), F.lit(" MB"))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,40 +37,65 @@ def walk_edges(edges: DataFrame) -> DataFrame:
     return edges.where("target_path IS NOT NULL").select(F.col("source_path").alias("src"), F.col("target_path").alias("dst")).distinct()
 
 
-def level_sets(walk: DataFrame, seeds: DataFrame, cap: int = DEPTH_CAP, reverse: bool = False):
-    """((node, depth) of every level up to ``cap``, truncated).
-
-    Level d+1 holds the distinct neighbours of level d, visited or not: that gives the least depths
-    and tells truly whether some walk, through a cycle too, has ``cap`` steps. One join a level.
-    """
+def _steps(walk: DataFrame, reverse: bool = False) -> DataFrame:
+    """(node, next), from edges that are written once, however often they are joined."""
     here, there = ("dst", "src") if reverse else ("src", "dst")
-    step = walk.select(F.col(here).alias("node"), F.col(there).alias("next"))
-    level = cut(seeds.select("node").distinct())
+    return cut(walk).select(F.col(here).alias("node"), F.col(there).alias("next"))
+
+
+def _onward(step: DataFrame, level: DataFrame) -> DataFrame:
+    return step.join(level, "node").select(F.col("next").alias("node")).distinct()
+
+
+def level_sets(walk: DataFrame, seeds: DataFrame, cap: int = DEPTH_CAP, reverse: bool = False) -> DataFrame:
+    """(node, depth) with least depths up to ``cap``, seeds at 0: one join a level, from new nodes only."""
+    step = _steps(walk, reverse)
+    level = seen = cut(seeds.select("node").distinct())
     every = level.withColumn("depth", F.lit(0))
     for depth in range(1, cap + 1):
-        level = cut(step.join(level, "node").select(F.col("next").alias("node")).distinct())
+        level = cut(_onward(step, level).join(seen, "node", "left_anti"))
         if level.isEmpty():
-            return every, False
+            break
+        seen = seen.unionByName(level)
         every = every.unionByName(level.withColumn("depth", F.lit(depth)))
-    return every, True
+    return every
 
 
-def closure(walk: DataFrame, seeds: DataFrame, cap: int = DEPTH_CAP, reverse: bool = False):
-    """((node, depth) with least depth over 0, truncated); a seed is in it only through others, never itself."""
-    levels, truncated = level_sets(walk, seeds, cap, reverse)
-    return levels.groupBy("node").agg(F.min("depth").alias("depth")).where("depth > 0"), truncated
+def is_truncated(walk: DataFrame, seeds: DataFrame, levels: DataFrame, cap: int = DEPTH_CAP, reverse: bool = False) -> bool:
+    """Whether some walk from the seeds, through a cycle too, has ``cap`` steps.
+
+    Only edges among the nodes found take part; without a cycle the levels run out after the longest path.
+    """
+    if not levels.where(F.col("depth") == cap).isEmpty():
+        return True
+    step = cut(_steps(walk, reverse).join(levels.select("node"), "node", "left_semi"))
+    level = cut(seeds.select("node").distinct())
+    for _ in range(cap):
+        level = cut(_onward(step, level))
+        if level.isEmpty():
+            return False
+    return True
+
+
+def closure(walk: DataFrame, seeds: DataFrame, cap: int = DEPTH_CAP, reverse: bool = False, flag: bool = True):
+    """((node, depth) with least depth over 0, truncated); a seed is in it only through others, never itself.
+
+    Without ``flag`` truncated is None and costs nothing.
+    """
+    walk = cut(walk)
+    levels = level_sets(walk, seeds, cap, reverse)
+    return levels.where("depth > 0"), is_truncated(walk, seeds, levels, cap, reverse) if flag else None
 
 
 def reachable(walk: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes reachable from seeds, seeds included: only the newest nodes step on."""
-    seen = cut(seeds.select("node").distinct())
-    frontier = seen
-    step = walk.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    while True:
-        frontier = cut(step.join(frontier, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"))
+    step = _steps(walk)
+    frontier = seen = cut(seeds.select("node").distinct())
+    for depth in count(1):
+        frontier = cut(_onward(step, frontier).join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier) if depth % 8 else cut(seen.unionByName(frontier))  # keeps plans short on long paths
 
 
 def chain_confidence(edges: DataFrame, depths: DataFrame, cap: int = DEPTH_CAP) -> DataFrame:
@@ -91,13 +118,32 @@ def chain_confidence(edges: DataFrame, depths: DataFrame, cap: int = DEPTH_CAP)
     return done.where("depth > 0").select("node", "depth", T.unrank(F.col("r")).alias("label"))
 
 
-def topo_levels(nodes: DataFrame, deps: DataFrame, most: int = 100) -> DataFrame:
-    """(node, level): longest path to a node without dependencies; raises on a cycle."""
-    out = nodes.select("node").distinct().withColumn("level", F.lit(0))
-    for level in range(1, most):
-        up = deps.select(F.col("src").alias("node"), "dst").join(out.select(F.col("node").alias("dst"), "level"), "dst").groupBy("node").agg((F.max("level") + 1).alias("n"))
+def topo_levels(nodes: DataFrame, deps: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, level): longest path to a node without dependencies; raises on a cycle.
+
+    A path is no longer than there are nodes: levels that still rise then tell a cycle (``most``: sooner).
+    """
+    out = cut(nodes.select("node").distinct().withColumn("level", F.lit(0)))
+    deps = cut(deps.select(F.col("src").alias("node"), "dst").distinct())
+    most = most or out.count() + 1
+    for _ in range(most):
+        up = deps.join(out.select(F.col("node").alias("dst"), "level"), "dst").groupBy("node").agg((F.max("level") + 1).alias("n"))
         new = cut(out.join(up, "node", "left").select("node", F.greatest("level", F.coalesce("n", F.lit(0))).alias("level")))
         if new.join(out, ["node", "level"], "left_anti").isEmpty():
             return new
         out = new
     raise ValueError("a cycle among dependencies")
+
+
+def build_order(nodes: DataFrame, deps: DataFrame, place: str) -> tuple[DataFrame, bool]:
+    """(nodes with ``level``, cyclic): by topological level, or on a cycle all at level 0 in their own order of ``place``, to be warned of."""
+    try:
+        levels = topo_levels(nodes, deps)
+    except ValueError:
+        return nodes.withColumn("level", F.lit(0)).orderBy(place), True
+    return nodes.join(levels, "node").orderBy("level", place), False
+
+
+def dependents(deps: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Nodes that depend on any dirty node, however far, and the dirty ones themselves."""
+    return reachable(deps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), dirty)

@@ -37,3 +37,19 @@ def replace_rows(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def fingerprint(rows: DataFrame, key: str, token) -> DataFrame:
     """Order-insensitive, duplicate-sensitive SHA-256 of a key's tokens."""
     return rows.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(token)), "\n"), 256).alias("fingerprint"))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of either table that the other lacks, repeats counted, with ``side`` (left or right)."""
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def replace_declarations(symbols: DataFrame, new: DataFrame, key: str = "assembly") -> DataFrame:
+    """Symbols after assemblies were analysed anew: theirs are replaced; of one doc_id in an assembly the first line declares."""
+    first = new.groupBy(key, "doc_id").agg(F.min(F.struct("file", "line")).alias("at")).select(key, "doc_id", "at.*")
+    return symbols.join(new.select(key).distinct(), key, "left_anti").select(key, "doc_id", "file", "line").unionByName(first)
+
+
+def replace_roots(roots: DataFrame) -> DataFrame:
+    """(real_path, prefix): one row for each root, whatever its case; the first of ``place`` wins."""
+    return roots.groupBy(F.lower("real_path").alias("k")).agg(F.min_by(F.struct("real_path", "prefix"), "place").alias("r")).select("r.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,21 +68,47 @@ def _bases(depth: DataFrame, steps: DataFrame) -> DataFrame:
     return out if out is not None else level.select("type", "name", F.col("t").alias("base")).limit(0)
 
 
-def inherit_walk(starts: DataFrame, inherit: DataFrame, having: DataFrame, most: int = 100) -> DataFrame:
-    """(start, depth): first level of base types at which one has the member; all starts walk together."""
+def inherit_walk(starts: DataFrame, inherit: DataFrame, having: DataFrame) -> DataFrame:
+    """(start, depth): first level of base types at which one has the member; all starts walk together.
+
+    A start never visits a type twice, so that cycles end; depth has no bound.
+    """
     level = cut(starts.select("start", F.col("start").alias("t")))
     seen, found = level, None
-    for depth in range(1, most):
+    for depth in count(1):
         level = cut(level.join(inherit, "t").select("start", F.col("base").alias("t")).distinct().join(seen, ["start", "t"], "left_anti"))
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen = seen.unionByName(level) if depth % 8 else cut(seen.unionByName(level))  # keeps plans short on long chains
         hit = cut(level.join(having, "t", "left_semi").select("start").distinct().withColumn("depth", F.lit(depth)))
         found = hit if found is None else found.unionByName(hit)
+        found = found if depth % 8 else cut(found)
         level = level.join(hit, "start", "left_anti")
     return found if found is not None else starts.select("start", F.lit(0).alias("depth")).limit(0)
 
 
+def unresolved_symbol_refs(refs: DataFrame, members: DataFrame) -> DataFrame:
+    """References (target_doc_id) to symbols that no assembly declares."""
+    return refs.join(members.select(F.col("doc_id").alias("target_doc_id")).distinct(), "target_doc_id", "left_anti")
+
+
+def entry_points(members: DataFrame, assemblies: DataFrame) -> DataFrame:
+    """(file): files with a member that something outside calls, by attribute or as main, in assemblies analysed semantically."""
+    sure = assemblies.where("mode = 'semantic'").select("assembly")
+    return members.where("entry_reason IN ('attribute', 'main')").join(sure, "assembly", "left_semi").select("file").distinct()
+
+
+def cs_file_edges(refs: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, line): earliest reference between two files through symbols; a file's own symbols don't count."""
+    met = refs.join(members.select(F.col("doc_id").alias("target_doc_id"), F.col("file").alias("dst")), "target_doc_id").where("src <> dst")
+    return met.groupBy("src", "dst").agg(F.min("line").alias("line"))
+
+
+def paths_to_files(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """Files (with their columns) of the paths asked for, in any case; paths without a file have no row."""
+    return files.join(paths.select(F.lower("path").alias("_k")).distinct(), F.lower(files["path"]) == F.col("_k"), "left_semi")
+
+
 def nearest_ancestor(paths: DataFrame, defs: DataFrame, key: str) -> DataFrame:
     """(key, unit): definition of the longest directory above each path; of two in one, the smaller ``pref``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import graph, incremental, parse, symbols
+from loomgraph.operators import graph, incremental, parse, symbols, verbs
 from loomgraph.plans import projection as P
 from loomgraph.plans.projection import GRAPH_SQL
 from loomgraph.streaming import watch
@@ -79,12 +79,12 @@ def all_refs_union(s, d):
 
 @query(f"WITH {GRAPH_SQL} SELECT source_path, line FROM edges WHERE target_path = 'Part/17'")
 def who_uses_direct(s, d):
-    return P.edges(s, d).where("target_path = 'Part/17'").select("source_path", "line").orderBy("source_path", "line")
+    return verbs.who_uses(P.files(s, d), P.refs(s, d), ["Part/17"]).select("source_path", "line").orderBy("source_path", "line")
 
 
 @query(f"WITH {GRAPH_SQL} SELECT target_path, target_key, line, builtin FROM edges WHERE source_path = 'Order/10934'")
 def uses_direct(s, d):
-    return P.edges(s, d).where("source_path = 'Order/10934'").select("target_path", "target_key", "line", "builtin").orderBy("line")
+    return verbs.uses(P.files(s, d), P.refs(s, d), ["Order/10934"]).select("target_path", "target_key", "line", "builtin").orderBy("line")
 
 
 @query(f"WITH {GRAPH_SQL} SELECT source_path, line FROM refs WHERE target_guid = md5('Part/50')")
@@ -94,13 +94,13 @@ def who_uses_guid_literal(s, d):
 
 @query(f"WITH {GRAPH_SQL} SELECT target_path, count(*) AS n, min(source_path) AS first_source FROM edges WHERE target_path IN (SELECT 'Part/' || range FROM range(1, 101)) GROUP BY target_path")
 def who_uses_batch(s, d):
-    asked = s.range(1, 101).select(F.concat(F.lit("Part/"), F.col("id").cast("string")).alias("target_path"))
-    return P.edges(s, d).join(F.broadcast(asked), "target_path").groupBy("target_path").agg(F.count("*").alias("n"), F.min("source_path").alias("first_source"))
+    found = verbs.who_uses(P.files(s, d), P.refs(s, d), [f"Part/{k}" for k in range(1, 101)]).where("target_path IS NOT NULL")
+    return found.groupBy("target_path").agg(F.count("*").alias("n"), F.min("source_path").alias("first_source"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT target_key, count(*) AS n, count(DISTINCT source_path) AS sources FROM edges WHERE source_path = 'Order/10934' AND target_path IS NULL AND NOT builtin GROUP BY target_key")
 def uses_missing_only(s, d):
-    return graph.unresolved(P.edges(s, d)).where("source_path = 'Order/10934'").groupBy("target_key").agg(F.count("*").alias("n"), F.countDistinct("source_path").alias("sources"))
+    return verbs.uses(P.files(s, d), P.refs(s, d), ["Order/10934"], missing_only=True).groupBy("target_key").agg(F.count("*").alias("n"), F.countDistinct("source_path").alias("sources"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT source_path, line FROM edges WHERE target_path = 'Nation/3' AND (lower(source_path) = 'customer' OR starts_with(lower(source_path), 'customer/'))")
@@ -118,6 +118,20 @@ def resolve_exact_guid(s, d):
     return P.files(s, d).where(F.col("guid") == F.md5(F.lit("Customer/3").cast("binary"))).orderBy("path")
 
 
+_TARGETS_SQL = f"""{GRAPH_SQL}, asked AS (SELECT DISTINCT raw, regexp_replace(replace(raw, chr(92), '/'), '^/p/', '') AS q FROM (SELECT unnest(['Part/17', 'order' || chr(92) || '10934', '/p/Customer/3', 'art/111', 'Part/50', 'nowhere', '0123456789abcdef0123456789ABCDEF']) AS raw)),
+exact AS (SELECT raw, path, guid FROM asked JOIN files ON lower(path) = lower(q)),
+byguid AS (SELECT raw, min(path) AS path, lower(q) AS guid FROM asked LEFT JOIN files ON guid = lower(q) WHERE raw NOT IN (SELECT raw FROM exact) AND regexp_full_match(lower(q), '[0-9a-f]{{32}}') GROUP BY raw, q),
+fuzzy AS (SELECT raw, count(*) AS n, min(path) AS path, min(guid) AS guid FROM asked JOIN files ON contains(lower(path), lower(q)) WHERE raw NOT IN (SELECT raw FROM exact) AND raw NOT IN (SELECT raw FROM byguid) GROUP BY raw)"""
+
+
+@query(f"""WITH {_TARGETS_SQL} SELECT raw AS input, coalesce(e.path, g.path, CASE WHEN f.n = 1 THEN f.path END) AS path, coalesce(e.guid, g.guid, CASE WHEN f.n = 1 THEN f.guid END) AS guid,
+CASE WHEN e.raw IS NOT NULL THEN 'path' WHEN g.raw IS NOT NULL THEN 'guid' WHEN f.n = 1 THEN 'fuzzy' WHEN f.n > 1 THEN 'ambiguous' ELSE 'missing' END AS how, coalesce(CASE WHEN e.raw IS NULL AND g.raw IS NULL THEN f.n END, 0)::BIGINT AS candidates
+FROM asked LEFT JOIN exact e USING (raw) LEFT JOIN byguid g USING (raw) LEFT JOIN fuzzy f USING (raw)""")
+def target_resolution(s, d):
+    asked = ["Part/17", "order\\10934", "/p/Customer/3", "art/111", "Part/50", "nowhere", "0123456789abcdef0123456789ABCDEF"]
+    return verbs.targets(P.files(s, d), asked, root="/p")
+
+
 # Statistics
 
 
@@ -157,13 +171,13 @@ def unresolved_owner_classify(s, d):
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT 'Region/0' AS node, 0 AS depth UNION SELECT src, depth + 1 FROM r JOIN walk ON dst = node WHERE depth < 12)
 SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node HAVING min(depth) > 0""")
 def closure_reverse(s, d):
-    return graph.closure(P.walk(s, d), s.createDataFrame([("Region/0",)], "node string"), reverse=True)[0]
+    return graph.closure(P.walk(s, d), s.createDataFrame([("Region/0",)], "node string"), reverse=True, flag=False)[0]
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT 'Order/10934' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN walk ON src = node WHERE depth < 12)
 SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node HAVING min(depth) > 0""")
 def closure_forward(s, d):
-    return graph.closure(P.walk(s, d), s.createDataFrame([("Order/10934",)], "node string"))[0]
+    return graph.closure(P.walk(s, d), s.createDataFrame([("Order/10934",)], "node string"), flag=False)[0]
 
 
 @query("""WITH RECURSIVE w AS (SELECT n_nationkey AS src, (n_nationkey + 1) % 25 AS dst FROM nation),
@@ -182,7 +196,7 @@ depths AS (SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node)"""
 
 def _forward_depths(s, d):
     seeds = s.createDataFrame([("Order/10934",)], "node string")
-    return graph.closure(P.walk(s, d), seeds)[0].unionByName(seeds.withColumn("depth", F.lit(0)))
+    return graph.closure(P.walk(s, d), seeds, flag=False)[0].unionByName(seeds.withColumn("depth", F.lit(0)))
 
 
 @query(f"""WITH RECURSIVE {_FORWARD}, c AS (SELECT e.*, b.depth, row_number() OVER (PARTITION BY target_path ORDER BY line, source_path) AS rn
@@ -239,9 +253,9 @@ def blind_spots(s, d):
 _REACH = f"{GRAPH_SQL}, live AS (SELECT 'Order/' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 = 0 UNION SELECT dst FROM live JOIN walk ON src = node)"
 
 
-def _live(s, d):
+def _live(s, d, walk=None):
     seeds = table(s, d, "orders").where("o_orderstatus = 'F' AND o_orderkey % 7 = 0").select(F.concat(F.lit("Order/"), F.col("o_orderkey").cast("string")).alias("node"))
-    return graph.reachable(P.walk(s, d), seeds)
+    return graph.reachable(walk or P.walk(s, d), seeds)
 
 
 @query(f"WITH RECURSIVE {_REACH} SELECT node FROM live")
@@ -259,10 +273,10 @@ named AS (SELECT DISTINCT 'Part/' || l_partkey AS path FROM lineitem WHERE l_ret
 screened AS (SELECT path, CASE WHEN path IN (SELECT path FROM named) THEN 'name-collision' WHEN path LIKE 'Customer/1%' THEN 'allowlist' END AS reason FROM cand WHERE path NOT IN (SELECT node FROM live))"""
 
 
-def _screen(s, d):
+def _screen(s, d, walk=None):
     cand = P.files(s, d).where("kind NOT IN ('folder', 'settings')").select("path")
     named = table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("Part/"), F.col("l_partkey").cast("string")).alias("path")).distinct().withColumn("hit", F.lit(True))
-    return cand.join(_live(s, d).withColumnRenamed("node", "path"), "path", "left_anti").join(named, "path", "left").select("path", F.when(F.col("hit"), "name-collision").when(F.col("path").rlike(T.glob_regex("Customer/1*")), "allowlist").alias("reason"))
+    return cand.join(_live(s, d, walk).withColumnRenamed("node", "path"), "path", "left_anti").join(named, "path", "left").select("path", F.when(F.col("hit"), "name-collision").when(F.col("path").rlike(T.glob_regex("Customer/1*")), "allowlist").alias("reason"))
 
 
 @query(f"WITH RECURSIVE {_SCREENS} SELECT path, reason FROM screened WHERE reason IS NOT NULL")
@@ -273,9 +287,10 @@ def screens_first_match(s, d):
 @query(f"""WITH RECURSIVE {_SCREENS}, alive AS (SELECT node FROM live UNION SELECT path FROM screened WHERE reason IS NOT NULL UNION SELECT dst FROM alive JOIN walk ON src = node)
 SELECT path, coalesce(reason, 'proven') AS verdict FROM screened WHERE reason IS NOT NULL OR path NOT IN (SELECT node FROM alive)""")
 def dead_candidates(s, d):
-    screened = incremental.cut(_screen(s, d))
+    walk = incremental.cut(P.walk(s, d))
+    screened = incremental.cut(_screen(s, d, walk))
     held = screened.where("reason IS NOT NULL")
-    alive = graph.reachable(P.walk(s, d), held.select(F.col("path").alias("node")))
+    alive = graph.reachable(walk, held.select(F.col("path").alias("node")))
     proven = screened.where("reason IS NULL").join(alive.withColumnRenamed("node", "path"), "path", "left_anti")
     return held.select("path", F.col("reason").alias("verdict")).unionByName(proven.select("path", F.lit("proven").alias("verdict")))
 
@@ -334,7 +349,7 @@ def topo_levels(s, d):
 # Texts and symbols: one serialized text for each of the first orders
 
 
-@query("""SELECT 'Order/' || l_orderkey AS source_path, md5('Part/' || l_partkey) AS guid FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 5 <> 0""")
+@query("""SELECT 'Order/' || l_orderkey AS source_path, md5('Part/' || l_partkey) AS guid FROM lineitem WHERE l_partkey % 5 <> 0""")
 def guid_extract_lines(s, d):
     k = F.concat(F.lit("Part/"), F.col("l_partkey").cast("string"))
     line = F.concat(F.lit("  m_Ref: {fileID: 1, guid: "), F.when(F.col("l_partkey") % 5 == 0, F.lit(T.NULL_GUID)).otherwise(F.upper(F.md5(k.cast("binary")))), F.lit(", type: 3}"))
@@ -363,7 +378,7 @@ def yaml_parse_udtf(s, d):
 
 
 _SYMS = """syms AS (SELECT 'M:' || p_brand || '.' || p_type || CASE WHEN p_size % 2 = 0 THEN '(int)' ELSE '' END AS doc_id, p_brand AS type, p_type AS name, min(p_partkey) AS file, bool_and(p_partkey % 3 <> 0) AS semantic FROM part GROUP BY ALL)"""
-_CALLS = "calls AS (SELECT l_orderkey AS src, l_linenumber AS line, p_brand AS type, CASE WHEN l_quantity > 45 THEN 'Gone' ELSE p_type END AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0)"
+_CALLS = "calls AS (SELECT l_orderkey AS src, l_linenumber AS line, p_brand AS type, CASE WHEN l_quantity > 45 THEN 'Gone' ELSE p_type END AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
 @query(f"""WITH {_SYMS}, {_CALLS}, m AS (SELECT c.*, doc_id, semantic, count(doc_id) OVER (PARTITION BY src, line, c.type, c.name) AS k FROM (SELECT DISTINCT * FROM calls) c LEFT JOIN syms USING (type, name))
@@ -423,7 +438,7 @@ def upsert_replace_by_file(s, d):
 @query("""SELECT l_orderkey, sha256(string_agg(l_partkey || ':' || l_linenumber, chr(10) ORDER BY l_partkey || ':' || l_linenumber)) AS fingerprint FROM lineitem GROUP BY l_orderkey""")
 def fingerprint_multiset(s, d):
     token = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
-    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(token)), "\n"), 256).alias("fingerprint"))
+    return incremental.fingerprint(table(s, d, "lineitem"), "l_orderkey", token)
 
 
 @query("""WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), b AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS s FROM lineitem GROUP BY 1)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.scratch import folder
+
 
 def debounce(changes: DataFrame, key: str, gap: str) -> DataFrame:
     """(key, n, first_us, last_us): runs of changes no further apart than ``gap``; batch or stream."""
@@ -25,21 +26,29 @@ def upsert(current: DataFrame | None, batch: DataFrame, key: str, order: list[st
 
 
 class LatestState:
-    """A table kept by ``foreachBatch``: each batch writes a new version and moves the pointer, so a
-    batch that runs twice ends in the same state."""
+    """A table kept by ``foreachBatch``: batch n makes version n from the newest one before it.
+
+    A batch that runs twice writes the same version again. Versions are found in the folder, so that
+    a restart with the same ``root`` goes on where the last run ended.
+    """
 
-    def __init__(self, spark: SparkSession, key: str, order: list[str]):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    def __init__(self, spark: SparkSession, key: str, order: list[str], root: str | None = None):
         self.spark, self.key, self.order = spark, key, order
-        self.root = f"{base.rstrip('/')}/loomgraph/state-{uuid.uuid4().hex}"
-        self.version: int | None = None
+        self.root = root or f"{folder(spark)}/state-{uuid.uuid4().hex}"
+
+    def versions(self) -> list[int]:
+        """Versions written to the end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
 
-    def read(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.root}/v{self.version}")
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The newest version, or the newest before one."""
+        known = [v for v in self.versions() if before is None or v < before]
+        return self.spark.read.parquet(f"{self.root}/v{known[-1]}") if known else None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        upsert(self.read() if self.version != batch_id else None, batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
-        self.version = batch_id
+        upsert(self.read(batch_id), batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.root}/v{batch_id}")
 
 
 def apply_changes(spark: SparkSession, path: str) -> DataFrame:
