@@ -104,7 +104,7 @@ def search(tree: BallTree, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, the
 
 def brute(x: list, ids: np.ndarray, q: list, qids: np.ndarray, theta: np.ndarray, k: int):
     """The same by whole-number arithmetic of any size, for components too large for the keys above."""
-    out = []
+    out, theta = [], theta.tolist()  # plain floats compare with whole numbers of any size
     for i, row in enumerate(q):
         all_ = [(-sum(a * b for a, b in zip(row, y)), ids[j], j) for j, y in enumerate(x) if ids[j] != qids[i]]
         out += [(i, j, max(-LONG, min(LONG - 1, -s))) for s, _, j in sorted(all_)[:k] if -s >= theta[i]]
@@ -113,8 +113,13 @@ def brute(x: list, ids: np.ndarray, q: list, qids: np.ndarray, theta: np.ndarray
 
 def quantise(vecs: list, scale: int):
     """floor(scale * component) as a float matrix, or as lists of ints where doubles would not be exact."""
-    m = np.floor(scale * np.array(vecs, dtype=np.float64))
-    return m if not len(m) or np.abs(m).max() < 2**24 else [[int(v) for v in r] for r in m]
+    x = np.array(vecs, dtype=np.float64)
+    with np.errstate(over="ignore"):
+        m = np.floor(scale * x)
+    if not len(m) or np.abs(m).max() < 2**24:
+        return m
+    # A component whose product passes the doubles is a whole number itself.
+    return [[int(v) if np.isfinite(v) else int(own) * scale for v, own in zip(r, row)] for r, row in zip(m, x)]
 
 
 def _search_group(rows: pd.DataFrame, queries: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:

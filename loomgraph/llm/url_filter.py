@@ -104,12 +104,14 @@ def match(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, default: str = "allow", **mining) -> DataFrame:
     """Verdict for every row of (page_id, url).
 
-    Labels for mining are the verdicts of the explicit list on the urls that it covers; the other
-    urls are unlabelled and count against a rule. A url that no rule fits gets ``default``. Null urls have empty host and path. Repeated rows are
-    judged alike and all returned; other columns are ignored.
+    Labels for mining are the verdicts of the explicit list on the urls that it covers; support and
+    confidence are counted over these urls alone, so that a rule reaches beyond the listed hosts by
+    the tokens that it shares with them. A url that no rule fits gets ``default``. Null urls have
+    empty host and path. Repeated rows are judged alike and all returned, each counts in mining; an
+    empty table gives no rows; other columns are ignored.
     """
     parsed = explicit(pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")), rules).withColumn("tokens", tokens())
-    mined = mine(parsed.select("tokens", F.col("rule_verdict").alias("label")), **mining)
+    mined = mine(parsed.where("rule_verdict IS NOT NULL").select("tokens", F.col("rule_verdict").alias("label")), **mining)
     # Urls with the same tokens share one answer: match each distinct token set once.
     rest = parsed.where("rule_verdict is null").withColumn("k", F.array_join(F.array_sort("tokens"), " "))
     sets = rest.groupBy("k").agg(F.first("tokens").alias("tokens"))

@@ -329,3 +329,40 @@ def test_ids_of_other_types(spark):
     assert {r.doc_id for r in lm_score.score(docs).collect()} == {"a", "b", None}
     assert {r.doc_id for r in sentencepiece_sampling.encode(docs).collect()} == {"a", "b", None}
     assert {r.doc_id for r in license_scan.scan(docs).collect()} == {"a", "b", None}
+
+
+def test_urls_of_the_table_against_sql_and_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.QUERIES["op5_url_filter"](spark, sf).collect()
+    cases = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(url_filter.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1])))
+    want = duckdb.sql(f"""SELECT page_id, host, path, CASE {cases} END AS rule FROM (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM '{sf}/pages.parquet')""").fetchall()
+    assert sorted((r.page_id, r.host, r.path, r.rule) for r in got) == sorted(want)
+    tokens = lambda r: {f"h:{x}" for x in r.host.split(".") if x} | {"p:" + re.sub("[0-9]+", "0", x) for x in r.path.split("/") if x}
+    verdict = {h + p: v for h, p, v in url_filter.RULES}
+    ruled = [(tokens(r), verdict[r.rule]) for r in got if r.rule]
+    assert all(r.verdict == verdict[r.rule] for r in got if r.rule) and any(r.mined for r in got)
+    for r in got:
+        if r.rule is None and r.mined:
+            items = set(r.mined.split(" "))
+            held = [v for t, v in ruled if items <= t]
+            assert items <= tokens(r) and len(items) <= url_filter.MAX_ITEMS
+            assert held.count(r.verdict) >= url_filter.MIN_CONFIDENCE * len(held) and len(held) >= url_filter.MIN_SUPPORT * len(ruled)
+        elif r.rule is None:  # no single token of it is sure enough
+            for t in tokens(r):
+                held = [v for ts, v in ruled if t in ts]
+                for v in ("allow", "block"):
+                    assert r.verdict == "allow" and not (held.count(v) >= url_filter.MIN_CONFIDENCE * len(held) and held.count(v) >= url_filter.MIN_SUPPORT * len(ruled) and held)
+
+
+def test_urls_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/en/1", "x", "y"), (1, "http://a.com/en/1", "x", "y"), (2, None, None, None), (None, "", None, None)], "page_id long, url string, host string, verdict string")
+    assert sorted((str(r.page_id), r.host, r.verdict) for r in url_filter.judge(rows).collect()) == [("1", "a.com", "block"), ("1", "a.com", "block"), ("2", "", "allow"), ("None", "", "allow")]
+    assert url_filter.judge(rows.limit(0)).count() == 0
+
+
+def test_top_k_of_the_largest_doubles_and_an_empty_table(spark):
+    rows = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e308, 0.0]), (2, [-1e308, 2.0]), (3, [0.0, 4.0])], "id long, v array<double>")
+    got = topk.top_k(rows, "id", "v", lambda i: i % 20 == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (3, 64 * 256), (2, -(2**63))]
+    assert topk.top_k(rows.limit(0), "id", "v", lambda i: i % 20 == 0).count() == 0
