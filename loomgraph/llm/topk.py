@@ -187,7 +187,7 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query, k: int = 20,
             .select(task, "qid", "qvec", "theta")
         )
         found = first.unionByName(run(rest_rows, rest_asks))
-    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k).alias("top"))
+    ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id", "score"))), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top").alias("r", "t")).select("query_id", (F.col("r") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score"))
 
 
