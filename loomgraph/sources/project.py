@@ -201,13 +201,24 @@ def scan(rows: DataFrame, root: str, known: DataFrame | None = None) -> tuple[Da
     return files, warnings
 
 
+# Fixed values of the file formats: paths in style sheets and layouts
+STYLE_IMPORT = r"""@import\s+(?:"([^"]*)"|url\(\s*['"]?([^'")]+)['"]?\s*\))"""
+STYLE_URL = r"""url\(\s*['"]?([^'")]+)['"]?\s*\)"""
+LAYOUT_SRC = r'\bsrc="([^"]*)"'
+
+
 def ui_path_refs(texts: DataFrame) -> DataFrame:
-    """(source_path, raw, line_no) of the path references in style sheets and layouts, each once a line."""
+    """(source_path, raw, line_no) of the path references in style sheets and layouts, each once a line.
+
+    The first import of a line is all that the line gives. Paths with ``guid=`` are references by guid, not by path.
+    """
     from loomgraph.operators.parse import lines
 
-    forms = [r'\bsrc="([^"]*)"', r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""", r'@import\s+"([^"]*)"']
-    every = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(f), 1) for f in forms]))
-    return lines(texts).select("source_path", F.explode(F.array_distinct(every)).alias("raw"), "line_no").where(F.trim("raw") != "")
+    imported = F.concat(*[F.regexp_extract("line", STYLE_IMPORT, k) for k in (1, 2)])  # the group that is not met is empty
+    others = F.concat(*[F.regexp_extract_all("line", F.lit(f), 1) for f in (STYLE_URL, LAYOUT_SRC)])
+    every = F.when(F.col("line").rlike(STYLE_IMPORT), F.array(imported)).otherwise(F.array_distinct(others))
+    found = lines(texts).select("source_path", F.explode(every).alias("raw"), "line_no")
+    return found.where((F.trim("raw") != "") & ~F.lower("raw").contains("guid="))
 
 
 def precompiled_names(text: str) -> list[tuple[str, int]]:

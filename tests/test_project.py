@@ -96,6 +96,13 @@ def test_ui_paths(spark):
     assert {tuple(r) for r in project.ui_path_refs(texts).collect()} == {("a.uss", "x.uss", 1), ("a.uss", "y.png", 2), ("b.uxml", "/z.uss", 1)}
 
 
+def test_an_import_wins_its_line_and_guids_are_no_paths(spark):
+    lines = ['@import "x.uss"; url(y.png)', "@import url('z.uss'); @import \"w.uss\";", "a: url(p.png) url(q.png)", '<I src="r.uxml?GUID=1&x"/> <J src="s.uxml"/>', '@import ""; url(t.png)']
+    texts = spark.createDataFrame([("a", "\n".join(lines))], "source_path string, text string")
+    got = sorted((r.line_no, r.raw) for r in project.ui_path_refs(texts).collect())
+    assert got == [(1, "x.uss"), (2, "z.uss"), (3, "p.png"), (3, "q.png"), (4, "s.uxml")]
+
+
 @pytest.mark.parametrize(
     "wanted, locked, data, status",
     [
