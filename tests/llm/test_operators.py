@@ -237,6 +237,20 @@ def test_decontamination_of_names_that_open_sentences_and_lines(spark):
     assert got == {1: (1, True), 2: (1, True), 3: (2, True), 5: (1, True)}
 
 
+def test_decontamination_query_matches_its_sql_on_names_and_mixed_slots(spark, tmp_path):
+    item = "the farmer Bob has 3 red apples and then Bob buys 5 more red apples today"
+    variant = item.replace("Bob", "Zoe").replace("3", "10").replace("5", "95")
+    plain = "Tom has 3 apples and he eats two. Tom buys 5 more pears. How many are left in the box?"
+    texts = [f"{item} or {variant}", variant, variant.replace("95", "10"), plain, plain.replace("Tom", "Anna").replace("3", "8"), "So " + plain, f"{variant}\n{variant}", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, plain), (3, None), (None, item), (4, "Short One")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(c.execute(f"SELECT doc_id, item_id, n_windows, n_matched FROM ({decontaminate.SQL})").fetchall())
+    assert want and sorted(map(tuple, decontaminate.op3(spark, str(tmp_path)).select("doc_id", "item_id", "n_windows", "n_matched").collect())) == want
+
+
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (20, [float("nan"), 1.0]), (1, None), (2, [None, 1.0]), (3, [1.0, 0.5]), (4, [1.0, 0.5]), (40, [2.0**40, 1.0]), (5, [1.0]), (None, [1.0, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", lambda i: i % 20 == 0, k=3).collect()
