@@ -16,6 +16,8 @@ overlapping windows under a causal mask; every token counts once, in the first w
 from __future__ import annotations
 
 import base64
+import copy
+import ctypes
 from itertools import chain
 
 import numpy as np
@@ -109,11 +111,25 @@ def _words(blob: bytes) -> Words:
     return _WORKER["words"]
 
 
+def _trim() -> None:
+    """Memory that a task has freed goes back to the system, as workers live on through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def _batches(pdf: pd.DataFrame, rows: int = 256):
     for k in range(0, len(pdf), rows):
         yield pdf.iloc[k : k + rows]
 
 
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product, which is faster for short rows."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(a.shape[:-1])
+
+
 class Model:
     """Vocabulary, prior tables and attention parameters; its size is bounded by VOCAB and DIM alone."""
 
@@ -136,9 +152,17 @@ class Model:
         self.cls = self._classes(c, uni)
         self.prior_class = np.zeros((v, CLASSES), np.float32)
         np.add.at(self.prior_class.T, self.cls, self.prior.T)
-        self.log_prior = np.log(self.prior)
+        # Only pairs that occur have an entry of their own; a bit table and its ranks find it.
+        met = c > 0
+        self.row, self.col = np.log(kinds / (total + kinds))[:, 0].astype(np.float32), np.log(uni).astype(np.float32)
+        self.bits = np.packbits(np.append(met.ravel(), np.zeros(-v * v % 64, bool)), bitorder="little").view("<u8")
+        n = np.bitwise_count(self.bits)
+        self.rank = (np.cumsum(n, dtype=np.int64) - n).astype(np.uint32)
+        self.own = np.append(np.log(self.prior[met]), np.float32(0))
         if counts is None:
-            self.log_prior[:, v - 1] -= np.float32(np.log(max(1, unknown)))
+            even = np.float32(np.log(max(1, unknown)))
+            self.col[v - 1] -= even
+            self.own[:-1][np.nonzero(met)[1] == v - 1] -= even
         del self.prior
         rng = np.random.default_rng(3)
         small = lambda *s: (0.1 * rng.standard_normal(s)).astype(np.float32)
@@ -164,28 +188,53 @@ class Model:
             cls[rest] = alone + own
         return cls
 
+    def log_prior(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log of the bigram prior of y after x."""
+        at = x * len(self.row) + y
+        word, low = self.bits[at >> 6], (at & 63).astype(np.uint64)
+        one = np.uint64(1)
+        there = (word >> low & one).astype(bool)
+        i = self.rank[at >> 6] + np.bitwise_count(word & ((one << low) - one))
+        return np.where(there, self.own[np.where(there, i, 0)], self.row[x] + self.col[y])
+
+    def for_training(self) -> "Model":
+        """The same without the prior of single pairs, which a training step doesn't read."""
+        out = copy.copy(self)
+        del out.row, out.col, out.bits, out.rank, out.own, out.share
+        return out
+
+    def projections(self) -> np.ndarray:
+        """Q, scaled, K and V side by side, so that one product serves all three."""
+        p = self.p
+        return np.concatenate([p["Q"] / np.float32(np.sqrt(DIM)), p["K"], p["V"]], axis=1)
+
     def forward(self, x: np.ndarray):
-        """(attention, h, g) of windows of inputs, whose mask lets a place see itself and earlier ones."""
+        """(inputs, their q, k and v, weights and one over their sums, h, g) of windows, whose mask lets a place see itself and earlier ones."""
         p = self.p
         n = x.shape[1]
-        e = p["E"][x] + p["P"][:n]
-        q, k, v = e @ (p["Q"] / np.float32(np.sqrt(DIM))), e @ p["K"], e @ p["V"]
+        e = p["E"].take(x, axis=0)
+        e += p["P"][:n]
+        qkv = e @ self.projections()
+        q, k, v = (qkv[..., i : i + DIM] for i in (0, DIM, 2 * DIM))
         a = q @ k.transpose(0, 2, 1)
         np.minimum(a, 30, out=a)
         np.exp(a, out=a)
         a *= np.tri(n, dtype=np.float32)
-        a /= a.sum(axis=2, keepdims=True)
+        one = 1 / _row_sums(a)[..., None]
         h = a @ v
+        h *= one
         h += e
-        return e, q, k, v, a, h, h @ p["C"] + p["b"]
+        g = h @ p["C"]
+        g += p["b"]
+        return e, (q, k, v), a, one, h, g
 
     def log_prob(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each target."""
         g = self.forward(x)[-1]
         np.minimum(g, 20, out=g)
-        own = np.take_along_axis(g, self.cls[y][..., None], axis=2)[..., 0]
+        own = g.reshape(-1, CLASSES)[np.arange(y.size), self.cls[y].ravel()].reshape(y.shape)
         np.exp(g, out=g)
-        return self.log_prior[x, y] + own - np.log(np.einsum("ijk,ijk->ij", g, self.prior_class[x]))
+        return self.log_prior(x, y) + own - np.log(np.vecdot(g, self.prior_class.take(x, axis=0)))
 
     def train(self, w: np.ndarray, epochs: int, rate: float, seed: int = 0, batch: int = 128) -> None:
         """Adam over windows of WINDOW + 1 ids; places past a text's end are -1 and carry no loss."""
@@ -197,40 +246,44 @@ class Model:
                 part = w[order[i : i + batch]]
                 live = (part[:, 1:] >= 0).astype(np.float32)
                 x, y = np.maximum(part[:, :-1], 0), np.maximum(part[:, 1:], 0)
-                e, q, k, v, a, h, d = self.forward(x)
+                e, (q, k, v), a, one, h, d = self.forward(x)
                 np.minimum(d, 20, out=d)
                 np.exp(d, out=d)
-                d *= self.prior_class[x]
+                d *= self.prior_class.take(x, axis=0)
                 live /= max(1.0, live.sum())
-                d *= (live / d.sum(axis=2))[..., None]
+                d *= (live / _row_sums(d))[..., None]
                 rows = d.reshape(-1, CLASSES)
                 rows[np.arange(len(rows)), self.cls[y].ravel()] -= live.ravel()
                 dh = d @ p["C"].T
+                a *= one
                 ds = dh @ v.transpose(0, 2, 1)
-                ds -= np.einsum("ijk,ijk->ij", ds, a)[..., None]
+                ds -= np.vecdot(dh, h - e)[..., None]  # ds times a, summed: h - e is a @ v
                 ds *= a
-                dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-                r = np.float32(1 / np.sqrt(DIM))
-                de = dh + dq @ (p["Q"].T * r) + dk @ p["K"].T + dv @ p["V"].T
+                dp = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh], axis=2)
+                de = dp @ self.projections().T
+                de += dh
                 flat = lambda u: u.reshape(-1, u.shape[-1])
-                grad = {"C": flat(h).T @ flat(d), "b": flat(d).sum(axis=0), "Q": flat(e).T @ flat(dq) * r, "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv), "P": de.sum(axis=0), "E": np.zeros_like(p["E"])}
-                by = np.argsort(x.ravel(), kind="stable")
-                ids = x.ravel()[by]
-                head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                grad["E"][ids[head]] = np.add.reduceat(flat(de)[by], head)
+                # Products a window at a time, then summed: far faster than one long thin product.
+                by = lambda u, w: (u.transpose(0, 2, 1) @ w).sum(axis=0)
+                dw = by(e, dp)
+                grad = {"C": by(h, d), "b": np.ones(len(rows), np.float32) @ flat(d), "Q": dw[:, :DIM] / np.float32(np.sqrt(DIM)), "K": dw[:, DIM : 2 * DIM], "V": dw[:, 2 * DIM :], "P": de.sum(axis=0)}
+                place = x[..., None] * DIM + np.arange(DIM)
+                grad["E"] = np.bincount(place.ravel(), weights=de.ravel(), minlength=p["E"].size).astype(np.float32).reshape(p["E"].shape)
                 t += 1
-                up, down = np.float32(rate / (1 - 0.9**t)), np.float32(1 / np.sqrt(1 - 0.99**t))
+                # m and s are ten and a hundred times the usual means.
+                up, down = np.float32(0.1 * rate / (1 - 0.9**t)), np.float32(0.1 / np.sqrt(1 - 0.99**t))
                 for name, u in grad.items():
                     m[name] *= np.float32(0.9)
-                    m[name] += np.float32(0.1) * u
+                    m[name] += u
                     s[name] *= np.float32(0.99)
                     u *= u
-                    s[name] += np.float32(0.01) * u
+                    s[name] += u
                     np.sqrt(s[name], out=u)
                     u *= down
                     u += np.float32(1e-8)
                     np.divide(m[name], u, out=u)
-                    p[name] -= up * u
+                    u *= up
+                    p[name] -= u
 
     def pack(self) -> bytes:
         return np.concatenate([v.ravel() for v in self.p.values()]).astype("<f4").tobytes()
@@ -330,6 +383,8 @@ def count(docs: DataFrame, blob, parts: int) -> DataFrame:
                     seen, cross, wins, texts, size = [], [], [], 0, 0
         if texts:
             yield flush()
+        seen, cross, wins = [], [], []
+        _trim()
 
     return docs.mapInPandas(run, _COUNTS)
 
@@ -415,11 +470,9 @@ def fit(docs: DataFrame, blob, parts: int):
     pilot = np.frombuffer(b"".join(map(bytes, pilot)), "<i4").reshape(-1, WINDOW + 1).astype(np.int64)
     if total:
         model.train(pilot, epochs=4, rate=0.01)
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = docs.sparkSession.sparkContext.broadcast(model.for_training())
 
         def go_on(batches):
-            import copy
-
             for pdf in batches:
                 for k, a in zip(pdf["part"], pdf["a"]):
                     shards = -(-(len(a) // (2 * (WINDOW + 1))) // SHARD_WINDOWS)
@@ -429,8 +482,10 @@ def fit(docs: DataFrame, blob, parts: int):
                         own.p = {name: x.copy() for name, x in own.p.items()}
                         own.train(w, epochs=1, rate=0.002, seed=(int(k) + i) % 2**32)
                         yield pd.DataFrame({"k": [(int(k) + i) % about], "n": [len(w)], "p": [own.pack()]})
+            _trim()
 
         model.unpack(_average(wins.mapInPandas(go_on, "k long, n long, p binary")))
+        shared.unpersist()
     return model, words
 
 
@@ -520,6 +575,8 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     held, done = [], 0
         if held:
             yield flush()
+        held = []
+        _trim()
 
     scored = materialize(docs.mapInArrow(run, schema), "lm-scores")
 

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -98,6 +99,22 @@ def test_lm_scores_each_token_once_and_sums_to_one():
     assert m.score([seq])[0] * np.log(10) == pytest.approx(lp[0].sum() + lp[1][4:].sum() + lp[2][4:].sum() + tail.sum(), rel=1e-4)
 
 
+def test_lm_model_travels_without_entries_for_pairs_that_never_occur():
+    rng = np.random.default_rng(0)
+    prev, cur = rng.integers(0, 1200, 5000), rng.integers(0, 1200, 5000)
+    for counts in (None, np.ones(lm_score.RAW_IDS)):
+        m = lm_score.Model(np.arange(1000), (prev, cur, np.ones(5000)), 5, counts)
+        c = np.zeros((1001, 1001))
+        np.add.at(c, (np.minimum(prev, 1000), np.minimum(cur, 1000)), 1)
+        uni = (c.sum(axis=0) + 0.5) / (c.sum(axis=0) + 0.5).sum()
+        kinds = (c > 0).sum(axis=1, keepdims=True) + 1
+        want = np.log((c + kinds * uni) / (c.sum(axis=1, keepdims=True) + kinds))
+        want[:, 1000] -= np.log(5) if counts is None else 0
+        x, y = np.divmod(np.arange(1001 * 1001), 1001)
+        assert np.allclose(m.log_prior(x, y), want.ravel(), atol=1e-4)
+        assert len(pickle.dumps(m.for_training())) < len(pickle.dumps(m)) < 2_500_000  # a full table has 4 MB
+
+
 def test_lm_trains_on_every_subword_of_long_texts(spark):
     docs = [(i, " ".join(f"w{(i * j) % 700}" for j in range(n))) for i, n in enumerate((0, 3, 5000))]
     with open(lm_score.default_vocabulary(), "rb") as f:
