@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import copy
-import ctypes
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table
+from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table, trim
 
 RAW_IDS, END, PAD = 50257, 50256, 65535
 VOCAB, DIM, CLASSES = 4096, 16, 32
@@ -111,15 +110,6 @@ def _words(blob: bytes) -> Words:
     return _WORKER["words"]
 
 
-def _trim() -> None:
-    """Memory that a task has freed goes back to the system, as workers live on through the stages that follow."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass  # another C library
-
-
 def _batches(pdf: pd.DataFrame, rows: int = 256):
     for k in range(0, len(pdf), rows):
         yield pdf.iloc[k : k + rows]
@@ -384,7 +374,7 @@ def count(docs: DataFrame, blob, parts: int) -> DataFrame:
         if texts:
             yield flush()
         seen, cross, wins = [], [], []
-        _trim()
+        trim()
 
     return docs.mapInPandas(run, _COUNTS)
 
@@ -482,7 +472,7 @@ def fit(docs: DataFrame, blob, parts: int):
                         own.p = {name: x.copy() for name, x in own.p.items()}
                         own.train(w, epochs=1, rate=0.002, seed=(int(k) + i) % 2**32)
                         yield pd.DataFrame({"k": [(int(k) + i) % about], "n": [len(w)], "p": [own.pack()]})
-            _trim()
+            trim()
 
         model.unpack(_average(wins.mapInPandas(go_on, "k long, n long, p binary")))
         shared.unpersist()
@@ -576,7 +566,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if held:
             yield flush()
         held = []
-        _trim()
+        trim()
 
     scored = materialize(docs.mapInArrow(run, schema), "lm-scores")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER_BYTES, map_columns, materialize, table
+from loomgraph.llm.common import LOWER_BYTES, map_columns, materialize, table, trim
 
 WORDS, COORDS = 5, 128
 #: Similarity of near duplicates as a fraction, where none is given: op9's.
@@ -191,6 +191,8 @@ def links(docs: DataFrame, reps: DataFrame, limits: Limits) -> DataFrame:
         for pdf in batches:
             found = [shingles(t) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "tile": pdf["tile"], "set": [s.tobytes() for s in found], "sig": [signature(s).tobytes() for s in found]})
+        pdf = found = None
+        trim()
 
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), "text").dropDuplicates(["id"]).join(tiles, "id").select("id", "tile", "text").mapInPandas(sets, "id long, tile long, set binary, sig binary")
 

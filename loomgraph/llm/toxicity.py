@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import LOWER_BYTES, held_out, map_columns, materialize, release, table
+from loomgraph.llm.common import LOWER_BYTES, held_out, map_columns, materialize, release, table, trim
 
 #: Abusive words of the four languages of the corpus.
 LEXICON = (
@@ -27,6 +27,8 @@ LEXICON = (
 #: Labelled rows that learning may use, and rows without a label that the classifier is fitted on besides: documented bounds on samples drawn by hash.
 FIT_ROWS, MORE_ROWS = 12_000, 6_000
 MINED_WORDS, MINED_GRAMS, GRAM_FEATURES, BUCKETS = 24, 24, 2048, 1 << 16
+#: Rows that a task turns into Python's strings at a time.
+ROWS = 1024
 #: Where the annotators' rates start, and the pseudo-rows that hold a rate near its start.
 EM_ROUNDS, ANNOTATOR, STRENGTH = 4, (0.97, 0.01), 50.0
 _TO_WORDS = bytes(b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -200,12 +202,16 @@ def _mine(model: Model, rows: DataFrame, toxic: int, clean: int) -> None:
         for pdf in batches:
             found = [(w, int(t)) for x, t in zip(pdf["text"], pdf["toxic"]) for w in text_words(x)]
             yield pd.DataFrame(found, columns=["w", "t"])
+        pdf = found = None
+        trim()
 
     def grams(batches):
         total = np.zeros((2, BUCKETS), np.int64)
         for pdf in batches:
             for x, t in zip(pdf["text"], pdf["toxic"]):
                 total[int(t == 1), text_grams(x)] += 1
+        pdf = None
+        trim()
         b = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"b": b, "clean": total[0, b], "toxic": total[1, b]})
 
@@ -286,6 +292,8 @@ def _refine(model: Model, docs: DataFrame, sample: np.ndarray, y: np.ndarray) ->
             if len(seen) > 100_000:
                 yield pd.DataFrame({"votes": list(seen), "n": list(seen.values())})
                 seen = {}
+        pdf = None
+        trim()
         yield pd.DataFrame({"votes": list(seen), "n": list(seen.values())})
 
     m = model.n_votes
@@ -326,9 +334,13 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([shared.value.score(x) < threshold for x in texts], pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([shared.value.score(x) < threshold for x in texts], pa.bool_()))
+        whole = batch = texts = None
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

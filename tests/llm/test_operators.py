@@ -397,3 +397,11 @@ def test_top_k_of_the_largest_doubles_and_an_empty_table(spark):
     got = topk.top_k(rows, "id", "v", lambda i: i % 20 == 0, k=3).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (3, 64 * 256), (2, -(2**63))]
     assert topk.top_k(rows.limit(0), "id", "v", lambda i: i % 20 == 0).count() == 0
+
+
+def test_toxic_rows_are_judged_a_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS", 2)
+    model = toxicity.Model()
+    model.w, model.b = 3 * np.ones(model.n_votes, np.float32), np.float32(-3)
+    docs = spark.createDataFrame([(i, ["fine", "idiot idiota scum", None][i % 3], "en", "s", 0) for i in range(7)], DOCS).coalesce(1)
+    assert sorted(r.doc_id for r in toxicity.reject(docs, model).collect()) == [0, 2, 3, 5, 6]
