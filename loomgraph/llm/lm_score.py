@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, table, trim
+from loomgraph.llm.common import LOWER_BYTES, held_out, materialize, release, table, trim
 
 RAW_IDS, END, PAD = 50257, 50256, 65535
 VOCAB, DIM, CLASSES = 4096, 16, 32
@@ -397,8 +397,10 @@ def _average(parts: DataFrame) -> bytes | None:
 
     parts = materialize(parts, "lm-parameters")
     while parts.count() > 1:
-        parts = materialize(parts.groupBy(F.floor(F.col("k") / 16)).applyInPandas(mean, "k long, n long, p binary"), "lm-parameters")
+        last, parts = parts, materialize(parts.groupBy(F.floor(F.col("k") / 16)).applyInPandas(mean, "k long, n long, p binary"), "lm-parameters")
+        release(last)
     row = parts.first()
+    release(parts)
     return row and row["p"]
 
 
@@ -439,6 +441,7 @@ def fit(docs: DataFrame, blob, parts: int):
     whole = np.append(ids, PAD)  # PAD is no vocabulary id and so stands for the rest
     model = Model(ids, (whole[k // VOCAB], whole[k % VOCAB], n), RAW_IDS - len(ids), uni)
     del met, k, n
+    release(pairs)
 
     # Windows of all documents; a task's are dealt to shards of bounded size and trained where they lie.
     wins = counted.where("kind = 't'").select("part", "a")
@@ -476,6 +479,7 @@ def fit(docs: DataFrame, blob, parts: int):
 
         model.unpack(_average(wins.mapInPandas(go_on, "k long, n long, p binary")))
         shared.unpersist()
+    release(counted)  # the windows and counts, before the texts are scored
     return model, words
 
 
@@ -505,6 +509,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     sizes = words.select("a", "b").mapInPandas(lambda it: (pd.DataFrame({"t": [int(np.frombuffer(bytes(b), np.int64).sum()) for b in p["b"]], "v": [len(a) // 8 for a in p["a"]]}) for p in it), "t long, v long").agg(F.sum("t"), F.sum("v")).first()
     train_tokens, distinct = int(sizes[0] or 0), int(sizes[1] or 0)
     head = tops.orderBy(F.desc("n"), "h").limit(HEAD_WORDS).toPandas()
+    release(tops)
     order = np.argsort(head["h"].to_numpy(np.int64).view(np.uint64))
     heads = (head["h"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order])
     shared = docs.sparkSession.sparkContext.broadcast((model, heads))

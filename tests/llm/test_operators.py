@@ -405,3 +405,13 @@ def test_toxic_rows_are_judged_a_slice_at_a_time(spark, monkeypatch):
     model.w, model.b = 3 * np.ones(model.n_votes, np.float32), np.float32(-3)
     docs = spark.createDataFrame([(i, ["fine", "idiot idiota scum", None][i % 3], "en", "s", 0) for i in range(7)], DOCS).coalesce(1)
     assert sorted(r.doc_id for r in toxicity.reject(docs, model).collect()) == [0, 2, 3, 5, 6]
+
+
+def test_lm_holds_no_windows_while_texts_are_scored(spark):
+    import glob
+    import tempfile
+
+    held = lambda: {p for k in ("counts", "pairs", "parameters", "top") for p in glob.glob(f"{tempfile.gettempdir()}/checkpoints/loomgraph/lm-{k}-*")}
+    before = held()
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(6)], "doc_id long, text string")
+    assert lm_score.score(docs).count() == 6 and held() <= before
