@@ -1,7 +1,8 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling; lossless decoding.
 
 A text's piece lattice parts into independent units: a run of U+2581 (the mark that stands for a
-space) with the characters up to the next mark, as no piece holds a mark after another character.
+space) with the characters up to the next mark, as no piece holds a mark after another character, or
+up to the next character that no piece has beside those before (letters and punctuation, mostly).
 Forward filtering runs once for each distinct unit of a task, over all new units of a batch at a
 time; backward sampling runs over all occurrences at a time. Each draw is a hash of the row's key
 and the draw's place, so a row has one segmentation wherever and however often it is processed.
@@ -10,8 +11,6 @@ and the draw's place, so a row has one segmentation wherever and however often i
 from __future__ import annotations
 
 import hashlib
-import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
 
-from loomgraph.llm.common import map_columns, table
+from loomgraph.llm.common import map_columns, table, trim
 
 MARK = "▁"
+_MARK = MARK.encode()
+#: What stands for a text's own mark in a lattice: a code point of no text.
+OWN_MARK = 0x110000
+#: Kinds of characters: those of the pieces' largest linked set, others, spaces, and the mark.
+LINKED, OTHER, SPACE, ALONE = range(4)
 #: Edges that a worker's unit cache may hold before it starts anew.
 CACHE_EDGES = 5_000_000
 #: Bytes of text that go through the lattice at a time, if one text has no more.
@@ -79,6 +83,28 @@ class Pieces:
         self.lens = np.array([len(s) for s in self.surface], np.int64)
         self.flat = np.frombuffer(b"".join(self.surface), np.uint8)
         self.off = np.concatenate([[0], np.cumsum(self.lens)])
+        # Kinds of code points, at which units part.
+        self.kind = np.full(0x110000, OTHER, np.uint8)
+        self.kind[[ord(c) for c in self._linked()]] = LINKED
+        self.kind[ord(" ")], self.kind[ord(MARK)] = SPACE, ALONE
+
+    def _linked(self) -> set[str]:
+        """The largest set of characters that no piece has beside a character outside it, but for marks in front."""
+        near: dict[str, set[str]] = {}
+        for raw in self.surface:
+            body = raw.decode("utf-8", "replace").lstrip(" ")
+            for a, b in zip(body, body[1:]):
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        best: set[str] = set()
+        while near:
+            met, todo = set(), [min(near)]
+            while todo:
+                if (c := todo.pop()) not in met:
+                    met.add(c)
+                    todo += near.pop(c)
+            best = max(best, met, key=len)
+        return best
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -112,15 +138,20 @@ class Sampler:
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.clear()
+        self.drop()
 
-    def clear(self):
-        self.index: dict[str, int] = {}
-        self.units = self.nodes = self.edges = 0
+    def drop(self):
+        """Also gives the tables' memory back."""
         self.last = np.zeros(1 << 10, np.int32)  # last node of each unit
         self.first_edge = np.zeros(1 << 10, np.int32)  # by node
-        # Of each edge: the probability of it and those before it at its node, in units of 2^-32; whence; piece.
+        # Of each edge: the probability of it and those before it at its node, in units of 2^-32, for the last 2^32 - 1;
+        # whence, -1 for the unit's start; piece.
         self.cum, self.src, self.piece = np.zeros(1 << 10, np.uint32), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.int32)
+        self.clear()
+
+    def clear(self):
+        self.index: dict[bytes, int] = {}
+        self.units = self.nodes = self.edges = 0
 
     def _append(self, name: str, at: int, new: np.ndarray) -> None:
         """Writes ``new`` from ``at`` on, in place where there is room."""
@@ -130,12 +161,14 @@ class Sampler:
             setattr(self, name, a)
         a[at : at + len(new)] = new
 
-    def learn(self, units: list[str]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         """Forward filtering over new units."""
         p = self.p
+        units = [u.decode("utf-8", "surrogatepass") for u in new]
         flat = np.frombuffer("".join(units).replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         n = np.array([len(u) for u in units], np.int64)
         ends = np.cumsum(n)
+        flat[[ends[k] - 1 for k, u in enumerate(units) if u == MARK]] = OWN_MARK
         stop = np.repeat(ends, n)
         pos = np.arange(len(flat))
         src, dst, pid = [], [], []
@@ -165,95 +198,89 @@ class Sampler:
         begin = ends - n + np.arange(len(units))
         depth = dst - begin[shift]
         order = np.argsort(dst, kind="stable")  # runs of one length each are sorted already
-        src, dst, pid, logw, depth = src[order], dst[order], pid[order], logw[order], depth[order]
+        src, dst, pid, logw, depth, shift = src[order], dst[order], pid[order], logw[order], depth[order], shift[order]
         nodes = len(flat) + len(units)
         first = np.concatenate([[0], np.cumsum(np.bincount(dst, minlength=nodes))])
         la = np.zeros(nodes)
-        cum = np.empty(len(src))
         level = np.argsort(depth.astype(np.int16) if n.max() < 1 << 15 else depth, kind="stable")  # short keys sort by radix
         cuts = np.concatenate([[0], np.cumsum(np.bincount(depth)[1:])]) if len(depth) else [0]
+        whence, to, v = src[level], dst[level], logw[level]
+        heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        sizes = np.diff(np.r_[heads, len(to)])
         for a, b in zip(cuts[:-1], cuts[1:]):  # one boundary of every unit at a time
-            e = level[a:b]
-            if not len(e):
+            if a == b:
                 continue
-            v, to = la[src[e]] + logw[e], dst[e]
-            head = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-            size = np.diff(np.r_[head, len(e)])
-            top = np.maximum.reduceat(v, head)
-            w = np.exp(v - np.repeat(top, size))
+            own = slice(*np.searchsorted(heads, (a, b)))
+            head, many = heads[own] - a, sizes[own]
+            w = v[a:b]
+            w += la[whence[a:b]]
+            top = np.maximum.reduceat(w, head)
+            w -= np.repeat(top, many)
+            np.exp(w, out=w)
             total = np.add.reduceat(w, head)
-            la[to[head]] = top + np.log(total)
-            w /= np.repeat(total, size)
-            cum[e] = w
+            la[to[a + head]] = top + np.log(total)
+            w /= np.repeat(total, many)
+        cum = np.empty(len(src))
+        cum[level] = v
         # In whole numbers, so that the sums don't depend on the other units of the batch.
         total = np.concatenate([[0], np.cumsum((cum * (2.0**32 - 1)).astype(np.int64))])
         cum = total[1:] - np.repeat(total[first[:-1]], np.diff(first))
-        for k, u in enumerate(units, self.units):
+        cum[first[1:][np.diff(first) > 0] - 1] = 2**32 - 1
+        for k, u in enumerate(new, self.units):
             self.index[u] = k
         self._append("last", self.units, begin + n + self.nodes)
         self._append("first_edge", self.nodes, first + self.edges)
-        for name, values in (("cum", cum), ("src", src + self.nodes), ("piece", pid)):
+        for name, values in (("cum", cum), ("src", np.where(src == begin[shift], -1, src + self.nodes)), ("piece", pid)):
             self._append(name, self.edges, values)
         self.units, self.nodes, self.edges = self.units + len(units), self.nodes + nodes, self.edges + len(src)
 
-    def sample(self, rows: list[list[str]], seeds: np.ndarray) -> list[np.ndarray]:
-        """Piece ids of each row."""
+    def sample(self, distinct: list[bytes], codes: np.ndarray, count: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+        """Piece ids of each row: of ``count`` units, which are places in ``distinct``."""
         if self.edges > CACHE_EDGES:
             self.clear()
-        units = list(chain.from_iterable(rows))
-        known = list(map(self.index.get, units))
+        known = list(map(self.index.get, distinct))
         if None in known:
-            self.learn(list(dict.fromkeys(u for u, k in zip(units, known) if k is None)))
-            known = list(map(self.index.get, units))
-        unit = np.array(known, np.int64)
-        count = np.array([len(r) for r in rows], np.int64)
-        row = np.repeat(np.arange(len(rows)), count)
+            self.learn([u for u, k in zip(distinct, known) if k is None])
+            known = list(map(self.index.get, distinct))
+        unit = np.array(known, np.int64)[codes]
+        row = np.repeat(np.arange(len(count)), count)
         seed = _mix(seeds[row] + np.arange(len(unit), dtype=np.uint64) - np.repeat(np.cumsum(count) - count, count).astype(np.uint64))
-        node = self.last[unit]
+        at, t = np.argsort(unit, kind="stable"), 0  # in the tables' order, so that equal and new units lie side by side
+        node = self.last[unit[at]]
         who, what = [], []
-        at, t = np.arange(len(unit)), 0
+        seed, size = seed[at], np.zeros(len(unit), np.int64)
         while len(at):
-            lo, hi = self.first_edge[node], self.first_edge[node + 1]
-            live = hi > lo  # a unit's first boundary has no edge
-            at, node, lo, hi = at[live], node[live], lo[live], hi[live]
-            if not len(at):
-                break
-            e = lo
-            more = np.flatnonzero(hi - lo > 1)  # no choice, no draw
-            u, hi = (_mix(seed[at[more]] + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(32)).astype(np.uint32), hi[more] - 1
-            while len(more):
-                k = e[more]
-                on = np.flatnonzero((self.cum[k] <= u) & (k < hi))
-                more, u, hi = more[on], u[on], hi[on]
-                e[more] += 1
+            e = self.first_edge[node]
+            u = np.minimum(_mix(seed + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)) >> np.uint64(32), np.uint64(2**32 - 2)).astype(np.uint32)
+            on = np.flatnonzero(self.cum[e] <= u)
+            while len(on):  # a node's last edge stops all
+                e[on] += 1
+                on = on[self.cum[e[on]] <= u[on]]
             who.append(at)
             what.append(self.piece[e])
             node, t = self.src[e], t + 1
+            live = node >= 0
+            size[at[~live]] = t
+            at, node, seed = at[live], node[live], seed[live]
         if not who:
-            return [np.zeros(0, np.int32) for _ in rows]
+            return [np.zeros(0, np.int32) for _ in count]
         # A unit's pieces came last to first: place each by its step.
-        size = np.bincount(np.concatenate(who), minlength=len(unit))
         stop = np.cumsum(size)
         ids = np.empty(int(stop[-1]), np.int32)
         for step, (w, x) in enumerate(zip(who, what)):
             ids[stop[w] - 1 - step] = x
         what, who = ids, np.repeat(np.arange(len(unit)), size)
         if (what < 0).any():  # spell in bytes
-            spelled = [[self.p.byte_id[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] if c < 0 else [c] for c in what[what < 0]]
+            odd = what < 0
+            chars, which = np.unique(what[odd], return_inverse=True)
+            spelled = [[self.p.byte_id[b] for b in (_MARK if c == -1 - OWN_MARK else chr(-1 - c).encode("utf-8", "surrogatepass"))] for c in chars.tolist()]
+            size = np.array([len(x) for x in spelled])
             n = np.ones(len(what), np.int64)
-            n[what < 0] = [len(s) for s in spelled]
+            n[odd] = size[which]
             ids = np.repeat(what, n)
-            ids[np.repeat(what < 0, n)] = np.concatenate(spelled)
+            ids[np.repeat(odd, n)] = np.concatenate(spelled)[_runs((np.cumsum(size) - size)[which], size[which])]
             what, who = ids, np.repeat(who, n)
-        return np.split(what.astype(np.int32), np.cumsum(np.bincount(row[who], minlength=len(rows)))[:-1])
-
-
-_UNIT = re.compile(f"{MARK}| *[^ {MARK}]+| +")
-
-
-def split_units(text: str) -> list[str]:
-    """Units of a text, with spaces still in place of marks; a mark of the text's own is a unit alone."""
-    return _UNIT.findall(text)
+        return np.split(what.astype(np.int32), np.cumsum(np.bincount(row[who], minlength=len(count)))[:-1])
 
 
 def row_seed(key) -> int:
@@ -312,28 +339,35 @@ def encode(docs: DataFrame, model: str | None = None, alpha: float = 1.0, key: s
                     back = [x is None or decode_ids(sampler.p, np.frombuffer(raw, "<i4")) == x.encode("utf-8", "surrogatepass") for x, raw in zip(texts, packed)]
                     made.append(pa.array(back, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(place(c)).slice(lo, hi - lo) for c in keep), *made], names=schema.names)
+        sampler.drop()  # a task of usual size fills the cache about once, so the next one loses little
+        trim()
 
     return docs.select(*dict.fromkeys([*keep, key, "text"])).mapInArrow(run, schema)
 
 
+def split_units(pieces: Pieces, texts: list[str]):
+    """(distinct units as UTF-8, the place among them of each unit of the texts in turn, number of units of each text).
+
+    Units are still with spaces in place of marks; a mark of a text's own is a unit alone.
+    """
+    ends = np.cumsum([len(x) for x in texts])
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = pieces.kind[points]
+    before, after = kind[:-1], kind[1:]
+    first = np.ones(len(points) + 1, bool)
+    first[1:-1] = (before != after) & (before != SPACE) | (before == ALONE) | (after == ALONE)
+    first[ends] = True
+    at = np.flatnonzero(first)
+    raw = whole.encode("utf-8", "surrogatepass")
+    offset = np.append(np.flatnonzero(np.frombuffer(raw, np.int8) >= -64), len(raw))[at]  # a character's first byte
+    units = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(offset), pa.py_buffer(raw)]).dictionary_encode()
+    return units.dictionary.to_pylist(), units.indices.to_numpy(), np.diff(np.searchsorted(at, ends), prepend=0)
+
+
 def segment(sampler: Sampler, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
     """Sampled ids of each text; a literal mark is spelled as the mark's bytes."""
-    out = sampler.sample([[] if MARK in x else split_units(x) for x in texts], seeds)
-    mark = np.array([sampler.p.byte_id[b] for b in MARK.encode()], np.int32)
-    for k, text in enumerate(texts):
-        if MARK not in text:
-            continue
-        ids, part, s = [], [], seeds[k : k + 1]
-        for u in [*split_units(text), None]:
-            if u not in (None, MARK):
-                part.append(u)
-                continue
-            ids += sampler.sample([part], s)
-            s, part = _mix(s), []
-            if u == MARK:
-                ids.append(mark)
-        out[k] = np.concatenate(ids)
-    return out
+    return sampler.sample(*split_units(sampler.p, texts), seeds)
 
 
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> bytes:

@@ -399,6 +399,37 @@ def test_top_k_of_the_largest_doubles_and_an_empty_table(spark):
     assert topk.top_k(rows.limit(0), "id", "v", lambda i: i % 20 == 0).count() == 0
 
 
+def test_sentencepiece_units_part_where_no_piece_reaches():
+    with open(sentencepiece_sampling.default_model(), "rb") as f:
+        p = sentencepiece_sampling.Pieces(f.read())
+    texts = ["  Hello, wörld.\nNext ▁x12 3,4  ", "", "▁▁ \ud800é", "世界 a"]
+    units, codes, count = sentencepiece_sampling.split_units(p, texts)
+    got = [units[c].decode("utf-8", "surrogatepass") for c in codes]
+    assert got == ["  Hello", ",", " wörld", ".\n", "Next", " ", "▁", "x", "12", " 3,4", "  ", "▁", "▁", " \ud800", "é", "世界", " a"] and count.tolist() == [11, 0, 4, 2]
+    linked = {chr(c) for c in np.flatnonzero(p.kind == sentencepiece_sampling.LINKED)}
+    for s, w in zip(p.surface, p.logw):  # no piece spans a cut
+        body = s.decode("utf-8", "replace").lstrip(" ")
+        assert not np.isfinite(w) or len({c in linked for c in body}) <= 1
+    sampler = sentencepiece_sampling.Sampler(p)
+    ids = sentencepiece_sampling.segment(sampler, texts, np.arange(4, dtype=np.uint64))
+    assert [sentencepiece_sampling.decode_ids(p, i).decode("utf-8", "surrogatepass") for i in ids] == texts
+    alone = [sentencepiece_sampling.segment(sampler, [t], np.array([k], np.uint64))[0].tolist() for k, t in enumerate(texts)]
+    assert alone == [i.tolist() for i in ids]
+
+
+def test_sentencepiece_worker_keeps_no_tables_between_tasks(spark):
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"edges": [len(s.cum) for s in sentencepiece_sampling._WORKER.values()]}, schema=pa.schema([("edges", pa.int64())]))
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(3000)), "en", "s", 0) for i in range(4)], DOCS).coalesce(1)
+    assert sentencepiece_sampling.encode(docs, check=True).where("lossless").count() == 4
+    assert all(r.edges <= 1024 for r in docs.select("doc_id").mapInArrow(held, "edges long").collect())
+
+
 def test_toxic_rows_are_judged_a_slice_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "ROWS", 2)
     model = toxicity.Model()
