@@ -110,11 +110,6 @@ def _words(blob: bytes) -> Words:
     return _WORKER["words"]
 
 
-def _batches(pdf: pd.DataFrame, rows: int = 256):
-    for k in range(0, len(pdf), rows):
-        yield pdf.iloc[k : k + rows]
-
-
 def _row_sums(a: np.ndarray) -> np.ndarray:
     """Sums over the last axis, as a product, which is faster for short rows."""
     return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(a.shape[:-1])
@@ -310,12 +305,12 @@ class Model:
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.int64)
 
 
 def _grouped(key: np.ndarray, *cols: np.ndarray):
     """(key, slices of cols) for every distinct key, cols sorted within by their order."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable")  # a radix sort where keys have 16 bits or fewer
     key = key[order]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return [(int(key[c]), *xs) for c, *xs in zip(cuts, *(np.split(x[order], cuts[1:]) for x in cols))] if len(key) else []
@@ -332,37 +327,60 @@ def cut_windows(ids: np.ndarray) -> np.ndarray:
 _COUNTS = "kind string, part long, a binary, b binary"
 
 
+def _runs(key: np.ndarray):
+    """(distinct keys, their first places, how often each occurs) of a sorted array."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], first, np.diff(first, append=len(key))
+
+
+def _pair_counts(words: Words, n: np.ndarray, cross: np.ndarray):
+    """Distinct pairs of subwords, sorted, and how often they occur, when the cached words occur ``n`` times.
+
+    Pairs within words follow from the words' counts; those across words are given, and are sorted in place.
+    """
+    cross.sort()
+    key, _, count = _runs(cross)
+    inner = np.ones(len(words.flat), bool)
+    inner[words.off[:-1][words.off[:-1] < len(inner)]] = False  # a word's first subword ends no pair of its own
+    times = np.repeat(n, np.diff(words.off))
+    at = np.flatnonzero(inner & (times > 0))
+    flat = words.flat.astype(np.uint32)
+    within, times = flat[at - 1] << np.uint32(16) | flat[at], times[at]
+    del inner, at, flat
+    key, count = np.append(key, within), np.append(count, times)
+    del within, times
+    order = np.argsort(key)
+    key, first, _ = _runs(key[order])
+    return key, np.add.reduceat(count[order], first) if len(first) else count
+
+
 def count(docs: DataFrame, blob, parts: int) -> DataFrame:
     """Counts of the training rows: kind w (word hash, n), b (bigram, n), t (all windows of the documents)."""
+    arrow = to_arrow_schema(StructType.fromDDL(_COUNTS))
 
     def run(batches):
         words = _words(blob.value)
         seen, cross, wins, texts, size = [], [], [], 0, 0
 
         def flush():
-            n = np.bincount(np.concatenate(seen), minlength=len(words.index)) if seen else np.zeros(0, np.int64)
+            n = np.zeros(len(words.index), np.int64)
+            for k in range(0, len(seen), 256):
+                n += np.bincount(np.concatenate(seen[k : k + 256]), minlength=len(n))
             used = np.flatnonzero(n)
             h, c = np.append(words.hash[used], np.uint64(END_WORD)), np.append(n[used], texts)
             rows = [("w", k, a.tobytes(), b.astype(np.int64).tobytes()) for k, a, b in _grouped(_part(h, parts), h, c)]
-            # Pairs within words follow from the words' counts; those across were gathered.
-            inner = np.ones(len(words.flat), bool)
-            inner[words.off[1:][words.off[1:] < len(inner)]] = inner[:1] = False
-            owner = np.repeat(np.arange(len(words.index)), np.diff(words.off))
-            at = np.flatnonzero(inner & (n[owner] > 0) if len(owner) else inner)
-            flat = words.flat.astype(np.uint32)
-            key = np.concatenate([flat[at - 1] << np.uint32(16) | flat[at], *cross])
-            k, inv = np.unique(key, return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate([n[owner[at]], np.ones(len(key) - len(at))])).astype(np.int64)
-            rows += [("b", p, a.tobytes(), b.tobytes()) for p, a, b in _grouped((k >> np.uint32(16)).astype(np.int64) % 64, k, c)]
             rows.append(("t", int(h[0] >> np.uint64(1)), np.concatenate(wins).tobytes(), b""))
+            k, c = _pair_counts(words, n, np.concatenate(cross))
+            seen.clear(), wins.clear(), cross.clear()
+            rows += [("b", p, a.tobytes(), b.tobytes()) for p, a, b in _grouped((k >> np.uint32(16)).astype(np.uint8) % np.uint8(64), k, c)]
             if len(words.index) > CACHE_WORDS:
                 words.clear()
-            return pd.DataFrame(rows, columns=["kind", "part", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), arrow)], schema=arrow)
 
         for whole in batches:
-            for pdf in _batches(whole):
-                for d, at in zip(pdf["doc_id"], words.look_up([split_words(x) for x in pdf["text"]])):
-                    seen.append(at)
+            for start in range(0, whole.num_rows, 256):
+                for at in words.look_up([split_words(x) for x in whole.column(0).slice(start, 256).to_pylist()]):
+                    seen.append(at.astype(np.uint32))
                     first, last = words.flat[words.off[at]].astype(np.uint32), words.flat[words.off[at + 1] - 1].astype(np.uint32)
                     cross.append(np.append(np.uint32(END), last) << np.uint32(16) | np.append(first, np.uint32(END)))
                     wins.append(cut_windows(words.subwords(at)))
@@ -370,13 +388,13 @@ def count(docs: DataFrame, blob, parts: int) -> DataFrame:
                     size += 12 * len(at) + 2 * wins[-1].size + 300
                 if size > FLUSH_BYTES or len(words.index) > CACHE_WORDS:
                     yield flush()
-                    seen, cross, wins, texts, size = [], [], [], 0, 0
+                    trim()
+                    texts = size = 0
         if texts:
             yield flush()
-        seen, cross, wins = [], [], []
         trim()
 
-    return docs.mapInPandas(run, _COUNTS)
+    return docs.select("text").mapInArrow(run, _COUNTS)
 
 
 def _sum_counts(dtype: str):
@@ -527,17 +545,18 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         words, (own, (hh, hn)) = _words(blob.value), shared.value
         uid = np.int64(TaskContext.get().partitionId()) << 40
-        held, done = [], 0
+        held, done, base = [], 0, uid  # base: the first uid of what is held
         hit = np.zeros(0, np.int64)  # place of each cached word among the heads, -1 for none
         head_log = np.log10(hn + 0.5)
         end_at = int(np.searchsorted(hh, np.uint64(END_WORD)))
         end_log = float(np.log10(hn[end_at] + 0.5)) if end_at < len(hh) and hh[end_at] == np.uint64(END_WORD) else None
 
         def flush():
-            h, u = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            base = int(u.min()) if len(u) else 0
-            found = _grouped(_part(h, parts), h, (u - base).astype("<u4"))
-            return rows(len(found), part=[x[0] for x in found], uid=[base] * len(found), h=[x[1].tobytes() for x in found], u=[x[2].tobytes() for x in found])
+            sizes = [len(x) for x in held]
+            h = np.concatenate(held)
+            held.clear()
+            found = _grouped(_part(h, parts), h, np.repeat(np.arange(len(sizes), dtype="<u4"), sizes))
+            return rows(len(found), part=[x[0] for x in found], uid=[int(base)] * len(found), h=[x[1].tobytes() for x in found], u=[x[2].tobytes() for x in found])
 
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
@@ -549,7 +568,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     i = np.minimum(np.searchsorted(hh, new), max(0, len(hh) - 1))
                     hit = np.concatenate([hit, np.where(hh[i] == new, i, -1) if len(hh) else np.full(len(new), -1)])
                 logs, known = [], []
-                for k, at in enumerate(places):
+                for at in places:
                     i = hit[at]
                     tail = words.hash[at[i < 0]]
                     i = i[i >= 0]
@@ -557,8 +576,8 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                         tail = np.append(tail, np.uint64(END_WORD))
                     logs.append(float(head_log[i].sum()) + (end_log or 0.0))
                     known.append(len(i) + (end_log is not None))
-                    held.append((tail, np.full(len(tail), uid + k)))
-                    done += 12 * len(tail)
+                    held.append(tail)  # of every text, also where it is empty
+                    done += 12 * len(tail) + 100
                 if len(words.index) > CACHE_WORDS:
                     words.clear()
                     hit = hit[:0]
@@ -567,10 +586,10 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 uid += n
                 if done > FLUSH_BYTES:
                     yield flush()
-                    held, done = [], 0
+                    trim()
+                    done, base = 0, uid
         if held:
             yield flush()
-        held = []
         trim()
 
     scored = materialize(docs.mapInArrow(run, schema), "lm-scores")

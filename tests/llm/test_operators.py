@@ -2,10 +2,12 @@ import hashlib
 import pickle
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import decontaminate, license_scan, line_dedup, lm_score, minhash_dedup, queries, sentencepiece_sampling, suffix_dedup, topk, toxicity, url_filter
@@ -85,6 +87,34 @@ def test_lm_counts_against_brute_force(spark, duck):
         assert r.score < 0
 
 
+def test_lm_counting_holds_little_beside_what_it_has_gathered(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FLUSH_BYTES", 4 << 20)
+    with open(lm_score.default_vocabulary(), "rb") as f:
+        raw = f.read()
+
+    class Rows:
+        """Gives the function that a worker runs, over Arrow batches."""
+
+        select = lambda self, *_: self
+        mapInArrow = lambda self, fn, _: fn
+        mapInPandas = lambda self, fn, _: lambda it: fn(b.to_pandas() for b in it)
+
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60_000, 400)) for _ in range(3000)]
+    batch = lambda part: pa.RecordBatch.from_pydict({"text": part, "doc_id": list(range(len(part)))})
+    run = lm_score.count(Rows(), type("Blob", (), {"value": raw}), 8)
+    for _ in run(iter([batch(texts)])):  # every word is known from now on
+        pass
+    made = iter(run(iter([batch(texts)])))
+    tracemalloc.start()
+    try:
+        next(made)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 6 * lm_score.FLUSH_BYTES
+
+
 def test_lm_scores_each_token_once_and_sums_to_one():
     rng = np.random.default_rng(0)
     prev, cur = rng.integers(0, 20, 300), rng.integers(0, 20, 300)
